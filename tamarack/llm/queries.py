@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from tamarack.llm.simhash import op1_simhash
+from tamarack.llm.substring import op2_substring
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_substring": op2_substring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
