@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from tamarack.llm.simhash import op1_simhash
 from tamarack.llm.substring import op2_substring
+from tamarack.llm.tokens import op3_token_counts
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_substring": op2_substring,
+    "op3_token_counts": op3_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
