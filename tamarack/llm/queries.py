@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tamarack.llm.mixing import OP6_SQL, op6_mixing
+from tamarack.llm.sharding import op4_sharding
 from tamarack.llm.simhash import op1_simhash
 from tamarack.llm.substring import op2_substring
 from tamarack.llm.tokens import op3_token_counts
@@ -10,6 +12,10 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_substring": op2_substring,
     "op3_token_counts": op3_token_counts,
+    "op4_sharding": op4_sharding,
+    "op6_mixing": op6_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": OP6_SQL,
+}
