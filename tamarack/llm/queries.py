@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tamarack.llm.langid import op5_language_id
 from tamarack.llm.mixing import OP6_SQL, op6_mixing
 from tamarack.llm.sharding import op4_sharding
 from tamarack.llm.simhash import op1_simhash
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_substring": op2_substring,
     "op3_token_counts": op3_token_counts,
     "op4_sharding": op4_sharding,
+    "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
 }
 
