@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tamarack.llm.decontam import op7_decontamination
 from tamarack.llm.langid import op5_language_id
 from tamarack.llm.mixing import OP6_SQL, op6_mixing
 from tamarack.llm.sharding import op4_sharding
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
+    "op7_decontamination": op7_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
