@@ -14,7 +14,8 @@ lies inside the window (ties by name), or, where there is none, to itself.
 Equal windows are thus given to equal symbols, and the symbol's name says in
 which bucket they meet.  Neighbouring windows share most of their symbols,
 which keeps what is sent small: a symbol stands for some five windows.  In the
-bucket the windows' own 64-bit names verify the repeat.
+bucket the windows' own names verify the repeat: 56 bits of a hash, and with
+the 256 or more buckets, which follow from the window's words too, 64.
 
 Repeats within a chunk of documents are settled before the shuffle, and only
 windows in their smallest document there travel on: a passage that a third of
@@ -177,7 +178,7 @@ def _send(window: int, buckets: int, chunk_words: int):
             for f, e in zip(runs, [*runs[1:], len(to)], strict=True):
                 held, which = np.unique(doc[q[cut[f:e]]], return_inverse=True)
                 begin = ends[f - 1] if f else 0
-                rows.append((int(to[f]), chunk, sent[begin : ends[e - 1]].tobytes(), q[cut[f:e]].astype(np.uint32).tobytes(), size[f:e].astype(np.uint32).tobytes(), which.astype(np.uint32).tobytes(), ids[held].tobytes()))
+                rows.append((int(to[f]), chunk, pack(sent[begin : ends[e - 1]]), q[cut[f:e]].astype(np.uint32).tobytes(), size[f:e].astype(np.uint32).tobytes(), which.astype(np.uint32).tobytes(), ids[held].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)], names=[x.split()[0] for x in SENT.split(", ")])
 
     return run
@@ -197,6 +198,18 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[tuple]
         yield held
 
 
+def pack(names: np.ndarray) -> bytes:
+    """The upper 56 bits of each name; the bucket says as much as the lower 8."""
+    return names.view(np.uint8).reshape(-1, 8)[:, 1:].tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    raw = np.frombuffer(packed, np.uint8).reshape(-1, 7)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, 1:] = raw
+    return out.view(np.uint64).ravel()
+
+
 FOUND = "chunk long, names binary, first binary, doc binary"
 
 
@@ -220,7 +233,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in _grouped(through(batches), 0):
         yield from passed
         passed.clear()
-        names = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
+        names = np.concatenate([unpack(r[2]) for r in rows])
         at, ids, n = [], [], []
         for r in rows:
             first, size, doc = (np.frombuffer(r[k], np.uint32).astype(np.int64) for k in (3, 4, 5))
