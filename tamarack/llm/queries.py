@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from tamarack.llm.decontam import op7_decontamination
+from tamarack.llm.hnsw import op8_hnsw
 from tamarack.llm.langid import op5_language_id
 from tamarack.llm.mixing import OP6_SQL, op6_mixing
 from tamarack.llm.sharding import op4_sharding
 from tamarack.llm.simhash import op1_simhash
 from tamarack.llm.substring import op2_substring
 from tamarack.llm.tokens import op3_token_counts
+from tamarack.llm.urls import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -18,8 +20,11 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
     "op7_decontamination": op7_decontamination,
+    "op8_hnsw": op8_hnsw,
+    "op9_url_filter": op9_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_mixing": OP6_SQL,
+    "op9_url_filter": OP9_SQL,
 }
