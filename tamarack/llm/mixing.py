@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import WORD_RE, materialise, table
+from tamarack.llm.common import WORD_RE, fresh, materialise, table
 from tamarack.llm.ranking import buckets_for, hash_bucket, ranked, seeded_hash
 
 SEED = 23
@@ -123,3 +123,14 @@ SELECT doc_id, size, source_size, target, CAST(one + two AS BIGINT) AS taken,
        CASE WHEN one > 0 THEN least(CASE WHEN a = b THEN u ELSE (sqrt(a * a + (b - a) * (a + b) * u) - a) / (b - a) END, 1.0) END AS position
 FROM g
 """
+
+
+def take(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the mix reads, as often as it reads them (never, once or twice), with the columns of ``docs``.
+
+    A document that is taken in part stays whole.
+    """
+    out = mix(docs)
+    times = F.filter(F.array("position", "again_position"), lambda p: p.isNotNull())
+    at = fresh(out, "_at")
+    return out.withColumn(at, F.explode(times)).select(*docs.columns)

@@ -6,6 +6,7 @@ from tamarack.llm.decontam import op7_decontamination
 from tamarack.llm.hnsw import op8_hnsw
 from tamarack.llm.langid import op5_language_id
 from tamarack.llm.mixing import OP6_SQL, op6_mixing
+from tamarack.llm.secrets import op10_secret_scan
 from tamarack.llm.sharding import op4_sharding
 from tamarack.llm.simhash import op1_simhash
 from tamarack.llm.substring import op2_substring
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_hnsw": op8_hnsw,
     "op9_url_filter": op9_url_filter,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {

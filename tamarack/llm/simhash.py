@@ -190,17 +190,18 @@ def _links(distance: int, total: int | None, n_fps: int, group_rows: int | None)
     return run
 
 
-def links(prints: DataFrame, distance: int, chain: int, total: int | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
+def links(prints: DataFrame, distance: int, chain: int, total: int | None = None, group_rows: int = GROUP_ROWS, salt: str | None = None) -> DataFrame:
     """Links (a, b) between the ``rep`` of ``prints(rep, fp0, ...)`` whose fp0 differ in ``distance`` bits or fewer.
 
     Not every pair of a group is emitted: within a key's group each row is
     linked to the one it was found from, so that n rows give at most n - 1
     links (groups of six or fewer: each pair).  Groups over ``group_rows`` are
     cut into blocks, and each pair of blocks is searched by a task of its own;
-    nothing is dropped.
+    nothing is dropped.  With the column ``salt`` only rows that agree in it
+    are compared.
     """
     fps = [c for c in prints.columns if c.startswith("fp")]
-    keys = F.array(*[F.struct(F.xxhash64(F.col("fp0").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)), F.lit(v)).alias("key"), F.lit(s).alias("start")) for v, (s, m) in enumerate(variants(distance, chain))])
+    keys = F.array(*[F.struct(F.xxhash64(F.col("fp0").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)), F.lit(v), *([F.col(salt)] if salt else [])).alias("key"), F.lit(s).alias("start")) for v, (s, m) in enumerate(variants(distance, chain))])
     rows = prints.where("rep is not null").select("rep", *fps, F.explode(keys).alias("k")).select("k.key", "k.start", "rep", *fps)
     sort = ["key", *fps]
     found = materialise(rows.repartition("key").sortWithinPartitions(*sort).mapInArrow(_links(distance, total, len(fps), group_rows), LINK_SCHEMA), "found")

@@ -164,7 +164,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", max_b
     shaped = _keys(rules, F.col("host"), F.col("path"))
     # The universe: each key of any shape that a URL of the corpus has.
     universe = materialise(urls.select(F.explode(F.array(*[k for _, k in shaped])).alias("key")).where("key is not null").distinct(), "url-keys")
-    cascades = {v: Cascade.build(spark.createDataFrame([(r.key,) for r in rules if r.verdict == v], "key string"), universe, max_bits) for v in sorted({r.verdict for r in rules})}
+    cascades = {v: Cascade.build(spark.range(1).select(F.explode(F.array(*[F.lit(r.key) for r in rules if r.verdict == v])).alias("key")), universe, max_bits) for v in sorted({r.verdict for r in rules})}
     drop(universe)
     # A lambda's argument is computed once; spelled out, each key would be once more for each hash.
     verdict = lambda key: F.coalesce(*[F.when(c.listed(key), F.lit(v)) for v, c in cascades.items()])
