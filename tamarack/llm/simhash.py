@@ -103,18 +103,21 @@ class Linker:
         return ok
 
     def forest(self, rep: np.ndarray, fps: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray]:
-        """Links that join what the group's pairs join: each found row to the one it was found from."""
+        """Links that join what the group's pairs join: each row to the least of those that it hangs together with."""
         left, a, b = np.arange(len(rep)), [], []
         while len(left) > 1:
             queue, left = [left[0]], left[1:]
+            tree = [queue[0]]
             while queue and len(left):
                 at = queue.pop()
                 hit = self.linked([f[left] for f in fps], [f[at] for f in fps], start)
-                found = left[hit]
-                a.append(np.full(len(found), rep[at]))
-                b.append(rep[found])
-                queue += found.tolist()
+                found = left[hit].tolist()
+                tree += found
+                queue += found
                 left = left[~hit]
+            own = np.sort(rep[tree])
+            a.append(own[1:])
+            b.append(np.full(len(own) - 1, own[0]))
         return (np.concatenate(a), np.concatenate(b)) if a else (rep[:0], rep[:0])
 
 
@@ -194,8 +197,8 @@ def links(prints: DataFrame, distance: int, chain: int, total: int | None = None
     """Links (a, b) between the ``rep`` of ``prints(rep, fp0, ...)`` whose fp0 differ in ``distance`` bits or fewer.
 
     Not every pair of a group is emitted: within a key's group each row is
-    linked to the one it was found from, so that n rows give at most n - 1
-    links (groups of six or fewer: each pair).  Groups over ``group_rows`` are
+    linked to the least ``rep`` of those that it hangs together with, so that
+    n rows give at most n - 1 links (groups of six or fewer: each pair).  Groups over ``group_rows`` are
     cut into blocks, and each pair of blocks is searched by a task of its own;
     nothing is dropped.  With the column ``salt`` only rows that agree in it
     are compared.
