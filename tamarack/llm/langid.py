@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarack.llm.common import fresh, table
-from tamarack.llm.ranking import seeded_hash
+from tamarack.llm.ranking import first_share, seeded_hash
 
 HIGH = 18
 CLASSES = 30 + HIGH
@@ -140,8 +140,10 @@ def held_out() -> "F.Column":
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, seed: int = 5) -> Model:
     """Trains on labelled rows outside the held-out fifth: for each language the first ``sample_docs`` in a seeded order, as far as they have ``sample_bytes`` together, the first in any case."""
     fit = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out()).select("doc_id", "lang", F.octet_length("text").alias("n"), seeded_hash(seed, "doc_id").alias("h"))
+    counts = {r.lang: r["count"] for r in docs.where("lang is not null").groupBy("lang").count().collect()}  # a row a language
+    early = F.coalesce(*[F.when(F.col("lang") == k, first_share(F.col("h"), sample_docs, n)) for k, n in counts.items()], F.lit(True))
     order = Window.partitionBy("lang").orderBy("h", "doc_id", "n")
-    ranked = fit.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_docs)
+    ranked = fit.where(early).withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_docs)
     chosen = ranked.withColumn("b", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("b") <= sample_bytes) | (F.col("r") == 1)).select("doc_id", "lang").distinct()
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").where("text is not null").collect()
     samples: dict[str, list[str]] = {}

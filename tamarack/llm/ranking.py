@@ -14,6 +14,12 @@ def seeded_hash(seed: int, *cols: str) -> "F.Column":
     return F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 16)
 
 
+def first_share(hash_: "F.Column", wanted: int, rows: int) -> "F.Column":
+    """Whether a seeded hash is among the first, of which some 2 * ``wanted`` + 100 of ``rows`` are: a sample of ``wanted`` can then be ranked without a row from each partition."""
+    share = (2 * wanted + 100) / max(1, rows)
+    return F.lit(True) if share >= 1 else hash_ < F.lit(f"{int(share * (1 << 64)):016x}")
+
+
 def buckets_for(rows: int) -> int:
     """So many that a bucket and the table of buckets both grow with the root of the rows."""
     return max(1, math.ceil(math.sqrt(rows) / 8))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarack.llm.common import table
-from tamarack.llm.ranking import seeded_hash
+from tamarack.llm.ranking import first_share, seeded_hash
 
 #: The sample: so many documents and bytes of text at most.
 SAMPLE_DOCS, SAMPLE_BYTES = 400, 1_000_000
@@ -207,6 +207,7 @@ def train(spark: SparkSession, findings: Sequence[Finding], prose: Prose, trees:
 def sample_texts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, seed: int = 10) -> list[str]:
     """The first texts in a seeded order, so many and of so many bytes at most (longer ones are passed over)."""
     sized = docs.where("text is not null and doc_id is not null").select("doc_id", F.octet_length("text").alias("n"), seeded_hash(seed, "doc_id").alias("h")).where(F.col("n") <= sample_bytes)
+    sized = sized.where(first_share(F.col("h"), sample_docs, docs.count()))
     first = sized.orderBy("h", "doc_id", "n").limit(sample_docs).withColumn("b", F.sum("n").over(Window.orderBy("h", "doc_id", "n").rowsBetween(Window.unboundedPreceding, 0)))
     chosen = first.where(F.col("b") <= sample_bytes).select("doc_id").distinct()
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").where(F.octet_length("text") <= sample_bytes).collect()
