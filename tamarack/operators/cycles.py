@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.storage import settle
 
 ROUNDS = 4
+#: Edges that one task searches by itself (some tens of MB); more are searched in rounds.
+SMALL = 200_000
 
 
 def _trim(edges: DataFrame) -> DataFrame:
@@ -38,17 +43,72 @@ def _least(edges: DataFrame, colour: DataFrame) -> DataFrame:
         colour = now
 
 
-def components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: list[tuple]) -> list[list]:
+    """Components of more than one node, depth first with an explicit stack."""
+    after: dict = {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+    index, low, on, stack, out = {}, {}, set(), [], []
+    for root in after:
+        if root in index:
+            continue
+        work = [(root, iter(after[root]))]
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        on.add(root)
+        while work:
+            node, rest = work[-1]
+            for b in rest:
+                if b not in index:
+                    index[b] = low[b] = len(index)
+                    stack.append(b)
+                    on.add(b)
+                    work.append((b, iter(after.get(b, ()))))
+                    break
+                if b in on:
+                    low[node] = min(low[node], index[b])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == index[node]:
+                    members = [stack.pop()]
+                    while members[-1] != node:
+                        members.append(stack.pop())
+                    on.difference_update(members)
+                    if len(members) > 1:
+                        out.append(members)
+    return out
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    edges = [e for b in batches for e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    rows = [(min(c), n) for c in strong_components(edges) for n in c]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.string())], names=["component", "node"])
+
+
+def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """``component, node`` for each component of more than one node, and each node with an edge to itself.
 
-    ``edges(a, b)``.  ``component`` is the least of its nodes' ids.  Nodes
-    without a way in or out are trimmed.  Then the least id that reaches a node
+    ``edges(a, b)`` are strings.  ``component`` is the least of its nodes' ids.
+    Up to ``small`` edges are searched depth first by one task.  Of more, nodes
+    without a way in or out are trimmed; then the least id that reaches a node
     colours it; what reaches the colour's own node within the colour is that
     node's component; it is taken out, and the rest goes round again.
     """
     edges = edges.where("a is not null and b is not null").select("a", "b").distinct()
     loops = edges.where("a = b").select(F.col("a").alias("component"), F.col("a").alias("node"))
-    rest, out = _trim(settle(edges.where("a <> b"), "edges")), None
+    rest, out = settle(edges.where("a <> b"), "edges"), None
+    if rest.count() <= small:
+        out = rest.coalesce(1).mapInArrow(_in_one_task, "component string, node string")
+    else:
+        out = _in_rounds(_trim(rest))
+    loops = loops if out is None else loops.join(out.select("node"), "node", "left_anti").select("component", "node")
+    return loops if out is None else out.unionByName(loops)
+
+
+def _in_rounds(rest: DataFrame) -> DataFrame | None:
+    out = None
     while not rest.isEmpty():
         nodes = rest.select(F.col("a").alias("node")).unionAll(rest.select(F.col("b").alias("node"))).distinct()
         colour = _least(rest, nodes.withColumn("colour", F.col("node")))
@@ -75,5 +135,4 @@ def components(edges: DataFrame) -> DataFrame:
         gone = found.select(F.col("node").alias("a"))
         rest = rest.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b")
         rest = _trim(settle(rest, "rest"))
-    loops = loops if out is None else loops.join(out.select("node"), "node", "left_anti").select("component", "node")
-    return loops if out is None else out.unionByName(loops)
+    return out

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tamarack.queries import graph
+from tamarack.queries import functions, graph, relations
 
 QUERIES, ORACLE_SQL = {}, {}
-for _part in (graph,):
+for _part in (graph, functions, relations):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.SQL
