@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.storage import settle
+
 NODE_SCHEMA = (
     "id string, kind string, title string, file string, line int, path string, aliases array<string>, phase string, receptivity string, history boolean, raw_status string, "
     "fm map<string,array<string>>, document string, declared boolean, section array<string>, text string, body string, disposition string, openness string, evidence string, "
@@ -23,6 +25,10 @@ class SpecGraph:
     nodes: DataFrame
     edges: DataFrame
 
+    def settled(self) -> SpecGraph:
+        """The same tables, written once: for what reads them many times."""
+        return SpecGraph(settle(self.nodes, "nodes"), settle(self.edges, "edges"))
+
     @property
     def documents(self) -> DataFrame:
         return self.nodes.where("kind = 'document'")

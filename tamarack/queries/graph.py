@@ -293,16 +293,19 @@ ALL_SQL = HANDED + HAND_OFF + CIRCULAR_SQL.replace("SELECT 'circular-delegation'
 
 @over_graph("record_exemption", ALL_SQL + "SELECT rule, message, file, line, nodes, hint FROM spared")
 def _exempt(g):
+    g = g.settled()
     return finding(rules.run_rules(g))
 
 
 @over_graph("strict_severity", ALL_SQL + "SELECT rule, CASE WHEN rule = 'state-conflict' THEN 'info' ELSE 'error' END AS severity, count(*) AS n FROM graded WHERE rule <> 'stale-premise' GROUP BY 1, 2")
 def _strict(g):
+    g = g.settled()
     return rules.run_rules(g, strict=True, severities={"state-conflict": "info", "stale-premise": "off"}).groupBy("rule", "severity").agg(F.count("*").alias("n"))
 
 
 @over_graph("diag_order_topk", ALL_SQL + "SELECT row_number() OVER (ORDER BY CASE severity WHEN 'error' THEN 0 ELSE 1 END, file, line, rule, message) AS place, rule, message FROM graded QUALIFY place <= 200")
 def _top(g):
+    g = g.settled()
     first = rules.in_order(rules.run_rules(g)).limit(200)
     rank = F.when(F.col("severity") == "error", 0).otherwise(1)
     return first.select(F.row_number().over(Window.orderBy(rank, "file", "line", "column", "rule", "message")).cast("bigint").alias("place"), "rule", "message")
@@ -319,6 +322,7 @@ def _related(g):
 def _summary(g):
     from tamarack.plans.analysis import summary
 
+    g = g.settled()
     return summary(g, rules.run_rules(g))
 
 
