@@ -7,9 +7,9 @@ from tamarack.llm.hnsw import op8_hnsw
 from tamarack.llm.langid import op5_language_id
 from tamarack.llm.mixing import OP6_SQL, op6_mixing
 from tamarack.llm.secrets import op10_secret_scan
-from tamarack.llm.sharding import op4_sharding
+from tamarack.llm.sharding import OP4_SQL, op4_sharding
 from tamarack.llm.simhash import op1_simhash
-from tamarack.llm.substring import op2_substring
+from tamarack.llm.substring import OP2_SQL, op2_substring
 from tamarack.llm.tokens import op3_token_counts
 from tamarack.llm.urls import OP9_SQL, op9_url_filter
 
@@ -27,6 +27,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring": OP2_SQL,
+    "op4_sharding": OP4_SQL,
     "op6_mixing": OP6_SQL,
     "op9_url_filter": OP9_SQL,
 }

@@ -53,3 +53,17 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     light = materialise(docs.select("doc_id", "source", utf8_bytes("text").alias("n"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("").alias("text")), "sizes")
     out = shard(light)
     return out.select("doc_id", (F.col("n") + 16).alias("size"), "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: DuckDB has no CRC-32: its table follows from the polynomial, and the bytes are folded one by one.
+OP4_SQL = """
+WITH tbl AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS stratum, substr(md5('17:' || doc_id), 1, 16) AS h, coalesce(text, '') AS text FROM documents),
+s AS (SELECT *, CAST(octet_length(encode(text)) AS BIGINT) + 16 AS size,
+             xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(0, octet_length(encode(text))), lambda k: CAST('0x' || hex(encode(text))[2 * k + 1:2 * k + 2] AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+      FROM d, tbl),
+r AS (SELECT *, CAST(2 * row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id) - 1 AS DOUBLE) / CAST(2 * count(*) OVER (PARTITION BY stratum) AS DOUBLE) AS part FROM s),
+g AS (SELECT *, row_number() OVER (ORDER BY part, stratum, h, doc_id) - 1 AS place, count(*) OVER () AS n FROM r),
+b AS (SELECT *, place * 40 // n AS shard FROM g)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard, place - (shard * n + 39) // 40 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM b
+"""

@@ -339,3 +339,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH g AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM g, unnest(range(1, len(w) - 11)) t(i)),
+first AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM win JOIN first USING (k) WHERE m < doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM g),
+kept AS (SELECT doc_id, count(gone.j) AS n_removed, string_agg(x, ' ' ORDER BY j) FILTER (WHERE gone.j IS NULL) AS t FROM word LEFT JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT g.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM g LEFT JOIN kept USING (doc_id)
+"""
