@@ -47,8 +47,11 @@ def test_shortest_paths(spark, seed):
     edges = [(f"n{rng.randrange(12)}", f"n{rng.randrange(12)}") for _ in range(22)]
     df = spark.createDataFrame([(a, b, n, a == b) for n, (a, b) in enumerate(edges)], "a string, b string, edge_ord bigint, reflexive boolean")
     starts = spark.createDataFrame([(f"n{k}",) for k in range(12)], "id string")
-    got = {(r.start, r.end): tuple(r.path) for r in shortest_paths(starts, df).collect()}
-    assert got == {(f"n{k}", e): p for k in range(12) for e, p in brute_paths(edges, f"n{k}").items()}
+    want = {(f"n{k}", e): p for k in range(12) for e, p in brute_paths(edges, f"n{k}").items()}
+    for small in (1000, 0):
+        rows = shortest_paths(starts, df, small=small).collect()
+        assert {(r.start, r.end): tuple(r.path) for r in rows} == want
+        assert all(r.moved == any(edges[n][0] != edges[n][1] for n in r.path) for r in rows)
 
 
 @pytest.mark.parametrize("seed", range(2))
