@@ -34,8 +34,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = materialise(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     for _ in range(rounds):
         nxt = materialise(_small_star(_large_star(now)), "links")
-        # Stars only: no end of a link is itself the start of one.
-        same = not nxt.select(F.col("b").alias("a")).distinct().join(nxt.select("a"), "a", "left_semi").head(1)
+        # Stars only: each start has one link, and no end of a link is itself the start of one.
+        same = not nxt.groupBy("a").count().where("count > 1").head(1)
+        same = same and not nxt.select(F.col("b").alias("a")).distinct().join(nxt.select("a"), "a", "left_semi").head(1)
         drop(now)
         now = nxt
         if same:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tamarack.llm import decontam, hnsw, langid, mixing, neardup, sharding, simhash, substring, tokens, urls
 from tamarack.llm import secrets as scans
+from tamarack.llm.components import components
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, shard string, position string, host string, rule string, bits string"
@@ -98,6 +99,21 @@ def test_pigeonring_blocks_lose_nothing(spark):
         assert [own.find(i) for i in range(len(prints))] == [sets.find(i) for i in range(len(prints))]
 
 
+def test_components_of_chains(spark):
+    # Each table on its own: a longer chain beside them would hide that the rounds stop too early.
+    rng, tables = random.Random(11), [[(1, 4), (4, 3), (3, 5), (5, 2)]]
+    for size in (5, 14, 14):
+        nodes = rng.sample(range(size), size)
+        tables.append(list(zip(nodes, nodes[1:], strict=False)))
+    tables.append([(1000 * k + a, 1000 * k + b) for k, t in enumerate(tables) for a, b in t])
+    for edges in tables:
+        sets = Sets()
+        for a, b in edges:
+            sets.join(a, b)
+        got = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+        assert sorted((r.node, r.component) for r in got) == sorted((n, sets.find(n)) for n in list(sets))
+
+
 def test_substring(spark, docs, odd, empty):
     for df in (docs, odd):
         held = defaultdict(list)
