@@ -272,6 +272,32 @@ def test_near_duplicates_keep_one(spark, docs, odd, empty):
     assert neardup.keep_one(empty).count() == 0
 
 
+def test_near_duplicates_that_differ_by_a_block(spark):
+    rng = random.Random(9)
+    vocabulary, made, want = [f"w{k}" for k in range(50_000)], [], set()
+
+    def grams(words):
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    for kind in ("append", "cut", "replace", "header"):
+        for size in (12, 100, 300):
+            for block in (0.03, 0.05, 0.08, 0.1, 0.15, 0.18, 0.2, 0.24, 0.3):
+                words = rng.sample(vocabulary, size)
+                k = max(1, round(size * block))
+                other = rng.sample(vocabulary, k)
+                at = rng.randrange(size - k)
+                copy = {"append": words + other, "header": other + words, "cut": words[:at] + words[at + k :], "replace": words[:at] + other + words[at + k :]}[kind]
+                a, b = grams(words), grams(copy)
+                made += [" ".join(words), " ".join(copy)]
+                want.add(len(made) - 2)
+                if len(a & b) < 0.8 * len(a | b):
+                    want.add(len(made) - 1)
+    assert len(made) * 0.6 < len(want) < len(made) * 0.85
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string")
+    assert {r.doc_id for r in neardup.keep_one(df).collect()} == want
+    assert {r.doc_id for r in neardup.keep_one(df, bucket_shingles=100).collect()} == want
+
+
 def test_exact_links_join_what_all_pairs_join():
     rng = random.Random(5)
     sets = [np.array(sorted(rng.sample(range(40), rng.randrange(15, 40))), np.uint64) for _ in range(50)]
