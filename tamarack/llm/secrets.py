@@ -45,11 +45,16 @@ THRESHOLD = 0.5
 #: Prefixes of provider keys and how they go on.
 PROVIDER = r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Z])|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_\-]{35}"
 KEYWORD = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential"
-CANDIDATE = re.compile(
+NAMED = re.compile(
     rf"(?<![A-Za-z0-9])(?P<provider>{PROVIDER})"
-    rf"|(?<![A-Za-z])(?i:{KEYWORD})[A-Za-z_]{{0,12}}[\"']?[ \t]{{0,4}}[:=]{{1,2}}[ \t]{{0,4}}[\"']?(?P<assigned>[^\s\"'`,;<>()]{{6,200}})"
-    r"|(?<![A-Za-z0-9])(?P<opaque>(?=[A-Za-z+/_\-]{0,40}[0-9])(?=[0-9+/_\-]{0,40}[A-Za-z])[A-Za-z0-9+/_\-]{16,200}={0,2})(?![A-Za-z0-9@])"
+    rf"|(?<![A-Za-z])(?i:{KEYWORD})[A-Za-z_]{{0,12}}[\"']?[ \t]{{0,4}}[:=]{{1,2}}[ \t]{{0,4}}[\"']?(?P<assigned>[^\s\"'`,;<>()]{{6,}})"
 )
+#: An opaque candidate lies in such a run: 16 characters or more, a letter and a digit, of any length.
+RUN = re.compile(r"[A-Za-z0-9+/_\-]{16,}")
+OPAQUE = 16
+MARK = re.compile(r"[+/_\-]")
+LAST_MARK, LAST_DIGIT, LAST_LETTER = ((lambda s, chars=c: max(map(s.rfind, chars))) for c in ("+/_-", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+WORD_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 KINDS = ("provider", "assigned", "opaque")
 LETTERS = re.compile(r"[^\W\d_]+")
 BEFORE = re.compile(rf"(?:{KEYWORD})[A-Za-z_]{{0,12}}[\"']?\s{{0,4}}[:=]{{0,2}}\s{{0,4}}[\"']?$", re.IGNORECASE)
@@ -127,12 +132,66 @@ def features(candidate: str, kind: str, before: str, after: str, path: str | Non
     ]
 
 
+class _Run:
+    """A run of opaque characters, and where candidates in it can begin and end; looked through once, so that long ones take linear time."""
+
+    def __init__(self, text: str, m: re.Match):
+        self.text, self.begin, self.end = text, *m.span()
+        run = m.group()
+        # Both a digit and a letter are at or after the start.
+        self.latest = self.begin + min(LAST_DIGIT(run), LAST_LETTER(run))
+        self.mark = self.begin + LAST_MARK(run)
+        # The whole run and up to two "=", if no word or address goes on after it.
+        signs = 2 if text.startswith("==", self.end) else int(text.startswith("=", self.end))
+        ends = (self.end + k for k in range(signs, -1, -1))
+        self.whole = next((e for e in ends if text[e : e + 1] not in WORD_CHARACTERS and text[e : e + 1] != "@"), None)
+
+    def first(self, at: int) -> tuple[int, int] | None:
+        """The candidate with the first start from ``at`` on."""
+        s = max(at, self.begin)
+        if s and self.text[s - 1] in WORD_CHARACTERS:
+            m = MARK.search(self.text, s, self.end)
+            if not m:
+                return None
+            s = m.end()
+        if s > self.latest or s + OPAQUE > self.end:
+            return None
+        if self.whole is not None:
+            return s, self.whole
+        return (s, self.mark) if self.mark >= s + OPAQUE else None
+
+
+def _found(text: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end): the leftmost candidate, then the leftmost after it; named ones come before opaque ones."""
+    at, run, named, opaque = 0, None, NAMED.search(text), None
+    runs = True
+    while True:
+        if named and named.start() < at:
+            named = NAMED.search(text, at)
+        if opaque is None or opaque[0] < at:
+            opaque, from_ = None, at
+            while runs and opaque is None:
+                if run is None or from_ >= run.end:
+                    m = RUN.search(text, from_)
+                    runs = m is not None
+                    run = _Run(text, m) if m else None
+                if run:
+                    opaque = run.first(from_)
+                    from_ = max(from_, run.end)
+        if named and (opaque is None or named.start() <= opaque[0]):
+            yield named.lastgroup, *named.span(named.lastgroup)
+            at = named.end()
+        elif opaque:
+            yield "opaque", *opaque
+            at = opaque[1]
+        else:
+            return
+
+
 def candidates(text: str | None) -> Iterator[tuple[int, str, str, str, str]]:
-    """(first character, candidate, kind, text before, text after) of a whole text, without overlaps."""
+    """(first character, candidate, kind, text before, text after) of a whole text, without overlaps; candidates have any length."""
     text = text or ""
-    for m in CANDIDATE.finditer(text):
-        kind = m.lastgroup
-        s, e = m.span(kind)
+    for kind, s, e in _found(text):
         found = text[s:e].rstrip(".:!?")
         if len(found) >= 6:
             yield s, found, kind, text[max(0, s - BESIDE) : s], text[s + len(found) : s + len(found) + BESIDE]

@@ -416,3 +416,16 @@ def test_secret_scan(spark, odd, empty):
     far = spark.createDataFrame([(1, LONG + " password=b7db7aa4a5fcc78305"), (1, LONG + " password=b7db7aa4a5fcc78305")], "doc_id bigint, text string")
     assert [r.start for r in scans.scan(far, model, prose).collect()] == [len(LONG) + 10] * 2
     assert scans.sample_texts(empty) == []
+
+
+def test_candidates_have_any_length():
+    rng, chars = random.Random(4), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for n in (200, 201, 300, 800, 100_000):
+        v = "".join(rng.choices(chars, k=n - 1)) + "7"
+        assert [(c[0], c[1], c[2]) for c in scans.candidates(f"the {v} end")] == [(4, v, "opaque")]
+        assert [(c[1], c[2]) for c in scans.candidates(f"password={v}; x")] == [(v, "assigned")]
+        late = "x" * n + "5"  # the only digit is the last character
+        assert [c[1] for c in scans.candidates(f"a {late}== b")] == [late + "=="]
+    for dull in ("-" * 300_000, "a-" * 150_000, "1/" * 150_000, "a" * 300_000):
+        assert list(scans.candidates(dull)) == []
+    assert len(list(scans.candidates(("AKIA" + "Q" * 16 + "-") * 10_000))) == 10_000
