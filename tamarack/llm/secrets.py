@@ -7,10 +7,10 @@ makes them than chance), the share of its letters that dictionary words cover,
 the words beside it and the path it is in.  A random forest, trained on
 labelled findings, says how likely it is a secret.
 
-The prose statistics and the dictionary come from a bounded sample of
-documents, and so do the contexts of the labelled findings that
-``labelled_findings`` makes: strings of known kinds, secret and harmless, put
-between words of the sample.  Findings labelled by people can be given instead.
+The prose statistics and the dictionary are counted over all documents.  Only
+the contexts of the labelled findings that ``labelled_findings`` makes come
+from a bounded sample: strings of known kinds, secret and harmless, put between
+words of the sample.  Findings labelled by people can be given instead.
 """
 
 from __future__ import annotations
@@ -31,11 +31,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import table
+from tamarack.llm.common import drop, materialise, table
 from tamarack.llm.ranking import first_share, seeded_hash
 
-#: The sample: so many documents and bytes of text at most.
+#: The sample that labelled findings are made from: so many documents and bytes of text at most.
 SAMPLE_DOCS, SAMPLE_BYTES = 400, 1_000_000
+#: The dictionary has the words that are at least one in so many of all words: it can't have more words than that.
+DICTIONARY = 1 << 18
 #: Labelled findings that are made: so many secret and so many harmless ones.
 FINDINGS = 2000
 #: Characters looked at on either side of a candidate.
@@ -82,14 +84,71 @@ def _classes(s: str) -> np.ndarray:
     return out
 
 
+def _pairs(text: str) -> np.ndarray:
+    c = _classes(text)
+    return np.bincount(c[:-1] * 63 + c[1:], minlength=63 * 63)
+
+
+def _transitions(pairs: np.ndarray) -> np.ndarray:
+    seen = pairs.reshape(63, 63) + 1.0
+    return np.log2(seen / seen.sum(1, keepdims=True) * 63)
+
+
 def learn_prose(texts: Sequence[str], least: int = 2) -> Prose:
-    pairs = np.ones((63, 63))
+    pairs = np.zeros(63 * 63, np.int64)
     words: Counter = Counter()
     for t in texts:
-        c = _classes(t)
-        np.add.at(pairs, (c[:-1], c[1:]), 1)
+        pairs += _pairs(t)
         words.update(w.lower() for w in LETTERS.findall(t) if len(w) >= 3)
-    return Prose(np.log2(pairs / pairs.sum(1, keepdims=True) * 63), frozenset(w for w, n in words.items() if n >= least))
+    return Prose(_transitions(pairs), frozenset(w for w, n in words.items() if n >= least))
+
+
+COUNTS = "pair int, word string, n long"
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text -> counts of pairs of character classes (``word`` null) and of words (``pair`` null), summed up as far as memory is bounded."""
+    pairs, words = np.zeros(63 * 63, np.int64), Counter()
+
+    def made(pair, word, n):
+        return pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(word, pa.string()), pa.array(n, pa.int64())], names=[x.split()[0] for x in COUNTS.split(", ")])
+
+    def flush():
+        low: Counter = Counter()
+        for w, n in words.items():
+            # No feature looks at a word beside a candidate that is longer than BESIDE.
+            if 3 <= len(w) <= BESIDE:
+                low[w.lower()] += n
+        words.clear()
+        return made([None] * len(low), list(low), list(low.values()))
+
+    for b in batches:
+        for at in range(0, b.num_rows, 64):
+            for t in b.column(0).slice(at, 64).to_pylist():
+                pairs += _pairs(t)
+                words.update(LETTERS.findall(t))
+            if len(words) > 200_000:
+                yield flush()
+    yield flush()
+    some = np.flatnonzero(pairs)
+    yield made(some, [None] * len(some), pairs[some])
+
+
+def corpus_prose(docs: DataFrame, least: int = 2, most: int = DICTIONARY) -> Prose:
+    """Statistics of all texts of ``docs``; repeated rows count each.
+
+    A word is in the dictionary if it occurs ``least`` times or more and makes
+    up ``1 / most`` of all words or more, so that at most ``most`` words are.
+    """
+    counted = docs.where("text is not null").select("text").mapInArrow(_count, COUNTS)
+    counts = materialise(counted.groupBy("pair", "word").agg(F.sum("n").alias("n")), "counts")
+    pairs = np.zeros(63 * 63, np.int64)
+    for r in counts.where("word is null").collect():
+        pairs[r.pair] = r.n
+    total = counts.where("word is not null").agg(F.sum("n")).first()[0] or 0
+    words = counts.where((F.col("word").isNotNull()) & (F.col("n") >= max(least, -(-total // most)))).select("word").collect()
+    drop(counts)
+    return Prose(_transitions(pairs), frozenset(r.word for r in words))
 
 
 def dictionary_coverage(text: str, words: frozenset[str], longest: int = 16) -> float:
@@ -312,6 +371,5 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, prose: Prose,
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    texts = sample_texts(docs)
-    prose = learn_prose(texts)
-    return scan(docs, train(spark, labelled_findings(texts), prose), prose)
+    prose = corpus_prose(docs)
+    return scan(docs, train(spark, labelled_findings(sample_texts(docs)), prose), prose)

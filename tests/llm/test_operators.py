@@ -429,3 +429,16 @@ def test_candidates_have_any_length():
     for dull in ("-" * 300_000, "a-" * 150_000, "1/" * 150_000, "a" * 300_000):
         assert list(scans.candidates(dull)) == []
     assert len(list(scans.candidates(("AKIA" + "Q" * 16 + "-") * 10_000))) == 10_000
+
+
+def test_prose_counts_all_documents(spark, docs, odd, empty):
+    # Beside many documents of one source, a few with words of their own: all count, in or out of the sample.
+    rare = spark.createDataFrame([(10**6 + k, f"Zwielicht\u00e9 quorvane{'abc'[k % 3]} zebulon") for k in range(6)], "doc_id bigint, text string")
+    many = docs.select("doc_id", "text").unionAll(spark.range(2000).selectExpr("id + 100000 as doc_id", "'common words only' as text")).unionAll(rare)
+    for df in (many, odd, empty):
+        got, want = scans.corpus_prose(df), scans.learn_prose([r.text for r in df.where("text is not null").collect()])
+        assert got.words == {w for w in want.words if len(w) <= scans.BESIDE} and np.allclose(got.transitions, want.transitions)
+    assert scans.corpus_prose(many).words >= {"zwielicht\u00e9", "quorvanea", "zebulon"}
+    # No more words than the bound, the frequent ones.
+    few = scans.corpus_prose(many, most=100).words
+    assert 0 < len(few) <= 100 and {"common", "words", "only"} <= few
