@@ -138,7 +138,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer_path)
     digest = F.unhex(F.sha2(F.col("_form"), 256))
-    form = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\t\\n\\x0B\\f\\r]+", " "))
+    form = F.coalesce("text", F.lit(""))
+    if parts_at_space(tokenizer_path):  # only there white space makes no difference
+        form = F.trim(F.regexp_replace(form, "[ \\t\\n\\x0B\\f\\r]+", " "))
     own = fresh(docs, "text_digest")
     forms = docs.select(form.alias("_form")).select(digest.alias("digest"), "_form").mapInArrow(_once, "digest binary, _form string")
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache_path)

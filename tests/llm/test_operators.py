@@ -157,6 +157,21 @@ def test_tokens(spark, docs, odd, empty, tmp_path):
         assert stored.count() == stored.select("digest").distinct().count()  # each form was encoded once
 
 
+def test_tokens_of_white_space(spark, odd, tmp_path):
+    import public_tokenizers
+    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({"[UNK]": 0, "a": 1}, unk_token="[UNK]"))
+    t.pre_tokenizer = pre_tokenizers.Split(Regex(r"[\s\S]"), "isolated")  # each character is a token
+    t.save(str(tmp_path / "characters.json"))
+    made = spark.createDataFrame([(k, x) for k, x in enumerate(["a  a", "a a", " a\n\n\ta ", "\t", "", None])], "doc_id bigint, text string")
+    for path in (str(tmp_path / "characters.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")):
+        for df in (made, odd.select("doc_id", "text").where("doc_id <> 7")):
+            rows = tokens.token_counts(df, path, str(tmp_path / f"{path.rsplit('/', 1)[-1]}-cache")).collect()
+            assert [r.n_tokens for r in rows] == tokens.count_tokens(path, [r.text or "" for r in rows])
+    assert tokens.count_tokens(str(tmp_path / "characters.json"), ["a  a", "a a"]) == [4, 3]
+
+
 def test_sharding(spark, docs, odd, empty):
     for df, shards in ((docs, 40), (docs, 7), (odd, 5), (odd, 40), (empty, 3)):
         rows = sharding.shard(df, shards).collect()
