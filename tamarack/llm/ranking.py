@@ -22,7 +22,7 @@ def first_share(hash_: "F.Column", wanted: int, rows: int) -> "F.Column":
 
 def buckets_for(rows: int) -> int:
     """So many that a bucket and the table of buckets both grow with the root of the rows."""
-    return max(1, math.ceil(math.sqrt(rows) / 8))
+    return max(1, math.ceil(math.sqrt(rows) / 2))
 
 
 def hash_bucket(col: "F.Column", buckets: int) -> "F.Column":
@@ -38,6 +38,7 @@ def ranked(light: DataFrame, rows: DataFrame, group: list[str], bucket: str, ord
     only the columns ``group``, ``bucket`` and ``weight``: its counts by
     bucket are combined before the shuffle and summed up over buckets, and
     each bucket is then ranked on its own.  ``group`` columns are not null.
+    Columns of ``rows`` other than those named here must not begin with ``_``.
     """
     keys = [*group, bucket]
     aggs = [F.count("*").alias("_n")] + ([F.sum(weight).alias("_w")] if weight else [])
