@@ -105,3 +105,8 @@ def row_of(df: DataFrame) -> "F.Column":
 def word_count(col) -> "F.Column":
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(col, F.lit(WORD_RE)), F.lit(0)).cast("long")
+
+
+def row_key() -> "F.Column":
+    """A digest of ``doc_id`` and ``text``, nulls told apart: 128 bits, so that no two rows of any corpus share one by chance."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("n")), F.coalesce(F.concat(F.lit(":"), "text"), F.lit("n")))))

@@ -11,7 +11,7 @@ from tamarack.llm.common import drop, materialise
 HUBS = 1 << 13
 
 
-def _with_least(rows: DataFrame, links: DataFrame, many: int) -> DataFrame:
+def with_least(rows: DataFrame, links: DataFrame, many: int) -> DataFrame:
     """``rows(a, b)`` with ``m``, the least ``b`` of ``links`` for the ``a``.
 
     A hub, which has over ``many`` links, would be one task's work in a join
@@ -26,13 +26,13 @@ def _with_least(rows: DataFrame, links: DataFrame, many: int) -> DataFrame:
 
 def _large_star(edges: DataFrame, many: int) -> DataFrame:
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    moved = _with_least(both.where("b > a"), both, many)
+    moved = with_least(both.where("b > a"), both, many)
     return moved.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame, many: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    moved = _with_least(down, down, many)
+    moved = with_least(down, down, many)
     moved = moved.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")), F.struct(F.col("b").alias("x"), F.col("m").alias("y")))).alias("e"))
     return moved.select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).where("a <> b").distinct()
 
@@ -62,4 +62,6 @@ def components(edges: DataFrame, rounds: int = 60, hubs: int = HUBS) -> DataFram
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out._tamarack_path = now._tamarack_path
+    return out

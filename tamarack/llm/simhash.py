@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import drop, materialise, table
+from tamarack.llm.common import materialise, scratch, table
 from tamarack.llm.components import components
 
 SEGMENTS, BITS = 16, 4
@@ -237,10 +237,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, chain: i
     """
     fps = [f"fp{i}" for i in range(len(seeds))]
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in fps)
-    prints = materialise(docs.select("doc_id", "text").mapInArrow(_fingerprints(words, seeds), schema), "prints")
-    distinct = materialise(prints.groupBy(*fps).agg(F.min("doc_id").alias("rep")), "distinct")
-    found = links(distinct, distance, chain, total, group_rows)
-    of = components(found)
+    with scratch() as kept:
+        prints = materialise(docs.select("doc_id", "text").mapInArrow(_fingerprints(words, seeds), schema), "prints")
+        distinct = materialise(prints.groupBy(*fps).agg(F.min("doc_id").alias("rep")), "distinct")
+        of = components(links(distinct, distance, chain, total, group_rows))
+        kept += [prints, distinct, of]
     label = distinct.join(of, F.col("rep") == F.col("node"), "left").select(*fps, F.coalesce("component", "rep").alias("component_id"))
     return prints.join(label, fps, "left").select("doc_id", F.col("fp0").alias("fp"), "component_id")
 

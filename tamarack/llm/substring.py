@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import MAX_LONG, table
+from tamarack.llm.common import MAX_LONG, row_key, table
 
 WINDOW = 13
 #: Words of a chunk: what one task holds at once, besides one document.
@@ -150,7 +150,7 @@ def _send(window: int, buckets: int, chunk_words: int):
                 continue
             chunk = (task << 32) | seq
             n = np.array([len(d[2]) for d in docs])
-            keys, ids = (np.array([d[k] for d in docs], np.int64) for k in (0, 1))
+            keys, ids = b"".join(d[0] for d in docs), np.array([d[1] for d in docs], np.int64)
             digest = xxhash.xxh64_intdigest
             s = np.fromiter((digest(w) for d in docs for w in d[2]), np.uint64, int(n.sum()))
             doc = np.repeat(np.arange(len(docs), dtype=np.int64), n)
@@ -174,7 +174,7 @@ def _send(window: int, buckets: int, chunk_words: int):
             within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
             sent = names[q[np.repeat(cut, size) + within]]
             ends, runs = np.cumsum(size), np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else []
-            rows = [(-1, chunk, here.tobytes(), np.cumsum(n).astype(np.uint32).tobytes(), None, keys.tobytes(), ids.tobytes())]
+            rows = [(-1, chunk, here.tobytes(), np.cumsum(n).astype(np.uint32).tobytes(), None, keys, ids.tobytes())]
             for f, e in zip(runs, [*runs[1:], len(to)], strict=True):
                 held, which = np.unique(doc[q[cut[f:e]]], return_inverse=True)
                 begin = ends[f - 1] if f else 0
@@ -260,7 +260,7 @@ def _cover(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, 0):
             own = next(r for r in rows if r[2] is not None)
-            ends, keys = np.frombuffer(own[2], np.uint32).astype(np.int64), np.frombuffer(own[3], np.int64)
+            ends, keys = np.frombuffer(own[2], np.uint32).astype(np.int64), own[3]
             edge = np.zeros(int(ends[-1]) + 1, np.int64)
             for r in rows:
                 p = np.frombuffer(r[1], np.uint32).astype(np.int64)  # a window is sent at most once
@@ -280,9 +280,9 @@ def _cover(window: int):
                 cut = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
                 for f, e in zip(cut, [*cut[1:], len(which)], strict=True):
                     d = which[f]
-                    out.append((int(keys[d]), np.stack([starts[f:e], stops[f:e]], 1).ravel().astype(np.int64) - begin[d]))
+                    out.append((keys[16 * d : 16 * d + 16], np.stack([starts[f:e], stops[f:e]], 1).ravel().astype(np.int64) - begin[d]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([r.astype(np.uint32).tobytes() for _, r in out], pa.binary())], names=["key", "gone"])
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([r.astype(np.uint32).tobytes() for _, r in out], pa.binary())], names=["key", "gone"])
 
     return run
 
@@ -327,13 +327,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     text has no words and an empty kept text's digest.  Other columns are
     passed over; an empty table gives an empty result.
     """
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+    keyed = docs.select(row_key().alias("key"), "doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(256, size // bucket_bytes))
     sent = keyed.mapInArrow(_send(window, buckets, chunk_words), SENT)
     dealt = sent.repartition(F.when(F.col("bucket") < 0, F.col("chunk")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
     found = dealt.mapInArrow(_meet, FOUND).repartition("chunk").sortWithinPartitions("chunk")
-    gone = found.mapInArrow(_cover(window), "key long, gone binary").dropDuplicates(["key"])
+    gone = found.mapInArrow(_cover(window), "key binary, gone binary").dropDuplicates(["key"])
     return keyed.join(gone, "key", "left").select("doc_id", "text", "gone").mapInArrow(_keep(with_text), REMOVED + ", kept_text string" * with_text)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import fresh, shared_dir, table, utf8_bytes
+from tamarack.llm.common import materialise, row_of, shared_dir, table, utf8_bytes
 
 #: Words whose counts a worker remembers; beyond that it starts anew.
 MEMO_WORDS = 400_000
@@ -141,7 +141,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     form = F.coalesce("text", F.lit(""))
     if parts_at_space(tokenizer_path):  # only there white space makes no difference
         form = F.trim(F.regexp_replace(form, "[ \\t\\n\\x0B\\f\\r]+", " "))
-    own = fresh(docs, "text_digest")
     forms = docs.select(form.alias("_form")).select(digest.alias("digest"), "_form").mapInArrow(_once, "digest binary, _form string")
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache_path)
     if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
@@ -150,14 +149,16 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     misses = forms.repartition("digest").mapInArrow(_once, "digest binary, _form string").mapInArrow(_encode(tokenizer_path, version), CACHE_SCHEMA)
     misses.write.mode("append").parquet(cache_path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
-    kept = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
-    rows = docs.withColumn("_form", form).withColumn("n_bytes", utf8_bytes("text")).withColumn(own, digest).select(*kept, "n_bytes", own)
-    return rows.join(counts.withColumnRenamed("digest", own), own, "left").select(*kept, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # Written, so that nothing but shuffles lies below the join: only then AQE can cut up the partition of a hot text.
+    counts = materialise(counts, "counts")
+    docs = docs.drop("n_bytes", "n_tokens", "over_limit")
+    rows = docs.select(row_of(docs).alias("row"), utf8_bytes("text").alias("n_bytes"), form.alias("_form")).select("row", "n_bytes", digest.alias("digest"))
+    return rows.join(counts, "digest", "left").select("row.*", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     cache = f"{shared_dir(spark)}/tamarack/token-cache-{uuid.uuid4().hex}"
-    out = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache)
+    out = token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), cache)
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
