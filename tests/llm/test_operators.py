@@ -419,6 +419,39 @@ def test_decontamination(spark, docs, odd, empty):
     assert left.columns == odd.columns and sorted(r.doc_id or -1 for r in left.collect()) == [-1, 3, 4, 5, 6, 7, 8, 9]
 
 
+def test_fingerprint_index_finds_all_within_the_radius():
+    rng = random.Random(8)
+    for radius in (20, 24, 3):
+        assert sum(x + 1 for x in decontam.shares(radius)) > radius
+    prints = [rng.getrandbits(64) for _ in range(130)]
+    windows = [rng.choice(prints) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(30))) for _ in range(3000)]
+    index = decontam.Index(np.arange(130), np.array(prints, np.uint64), 20)
+    w, i = index.candidates(np.array(windows, np.uint64))
+    assert set(zip(w.tolist(), i.tolist(), strict=True)) == {(a, b) for a, x in enumerate(windows) for b, y in enumerate(prints) if (x ^ y).bit_count() <= 20}
+    wide = np.array([rng.getrandbits(64) for _ in range(4000)], np.uint64)
+    near = np.unpackbits(np.bitwise_or.reduce([index.tables[b][index._part(wide, b)] for b in range(4)]), axis=1, count=130)
+    assert near.mean() < 0.3  # the index alone leaves few of the pairs
+
+
+def test_decontamination_recall_on_changed_items():
+    rng = random.Random(18)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    rows = [(k, " ".join(rng.choices(vocabulary, k=rng.choice((6, 9, 13, 20, 40, 80))))) for k in range(1500)]
+    items, lost, all_ = decontam.Items(rows), 0, 0
+    for k, text in rows:
+        words = text.split()
+        where = rng.randrange(3)  # a changed word at the edge, anywhere, or a repeated one
+        words[0 if where == 0 else rng.randrange(len(words))] = rng.choice(words) if where == 2 else "other"
+        text = " ".join(["before", "it", *words, "and", "after"])
+        own = Counter(tuple(rows[k][1].split()[i : i + 5]) for i in range(len(words) - 4))
+        made = text.split()
+        c = [Counter(tuple(made[s + i : s + i + 5]) for i in range(len(words) - 4)) for s in range(5)]
+        if max(sum((own & x).values()) / sum((own | x).values()) for x in c) >= 0.8:
+            all_ += 1
+            lost += k not in {h[0] for h in items.search(text)}
+    assert all_ > 500 and lost == 0
+
+
 def test_nearest(spark):
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r.vec_id, np.array(r.embedding, float)) for r in e.collect() if r.embedding is not None and np.isfinite(np.array(r.embedding, float)).all() and np.any(r.embedding)]
