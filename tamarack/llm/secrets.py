@@ -1,7 +1,9 @@
 """Secret scans: patterns find candidates, a random forest takes the false ones out.
 
-Candidates are provider keys with a known prefix, values assigned to a word
-like ``password`` or ``token``, and opaque runs of letters and digits.  Each is
+Candidates are provider keys with a known prefix, private keys between their
+marker lines, values (six characters or more) assigned to a name with a word
+like ``password`` or ``token``, and opaque runs (16 or more) of letters and
+digits.  None has a longest length.  Each is
 described by its length, its character transitions (how much likelier prose
 makes them than chance), the share of its letters that dictionary words cover,
 the words beside it and the path it is in.  A random forest, trained on
@@ -47,19 +49,24 @@ THRESHOLD = 0.5
 #: Prefixes of provider keys and how they go on.
 PROVIDER = r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Z])|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_\-]{35}"
 KEYWORD = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential"
+PRIVATE = r"(?:[A-Z0-9]++ ){0,4}PRIVATE KEY-----"
+#: Possessive runs that begin only where a name begins: linear time on any text.
 NAMED = re.compile(
     rf"(?<![A-Za-z0-9])(?P<provider>{PROVIDER})"
-    rf"|(?<![A-Za-z])(?i:{KEYWORD})[A-Za-z_]{{0,12}}[\"']?[ \t]{{0,4}}[:=]{{1,2}}[ \t]{{0,4}}[\"']?(?P<assigned>[^\s\"'`,;<>()]{{6,}})"
+    rf"|(?P<pem>-----BEGIN {PRIVATE}(?:[^-]|-(?!----))*+-----END {PRIVATE})"
+    r"|(?<![A-Za-z0-9_.\-])(?P<name>[A-Za-z0-9_.\-]++)[\"']?+[ \t]*+(?::=|=>|[:=]{1,2}+)[ \t]*+"
 )
+VALUE = re.compile(r"\"(?P<double>[^\"\n]{6,}+)\"|'(?P<single>[^'\n]{6,}+)'|[\"'`]?(?P<plain>[^\s\"'`<>()]{6,}+)")
+SECRET_NAME = re.compile(rf"(?<![A-Za-z])(?i:{KEYWORD})|(?<=[a-z])(?:Pass(?:word|phrase)?|Pwd|Secret|Token|Auth|Credential|ApiKey|AccessKey)")
 #: An opaque candidate lies in such a run: 16 characters or more, a letter and a digit, of any length.
 RUN = re.compile(r"[A-Za-z0-9+/_\-]{16,}")
 OPAQUE = 16
 MARK = re.compile(r"[+/_\-]")
 LAST_MARK, LAST_DIGIT, LAST_LETTER = ((lambda s, chars=c: max(map(s.rfind, chars))) for c in ("+/_-", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
 WORD_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
-KINDS = ("provider", "assigned", "opaque")
+KINDS = ("provider", "pem", "assigned", "opaque")
 LETTERS = re.compile(r"[^\W\d_]+")
-BEFORE = re.compile(rf"(?:{KEYWORD})[A-Za-z_]{{0,12}}[\"']?\s{{0,4}}[:=]{{0,2}}\s{{0,4}}[\"']?$", re.IGNORECASE)
+BEFORE = re.compile(rf"(?:{KEYWORD})[A-Za-z0-9_.\-]*[\"']?\s*[:=>]{{0,2}}\s*[\"']?$", re.IGNORECASE)
 HARMLESS = re.compile(r"(?:commit|sha\d*|md5|digest|checksum|hash|revision|uuid|guid|id|build|version|etag|example|sample|dummy|test)[\"']?\s{0,4}[:=#]{0,2}\s{0,4}[\"']?$", re.IGNORECASE)
 PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|placeholder|your[_-]|xxxx|\*{3}|<[a-z]|\$\{|\{\{|todo|test|1234|abcd", re.IGNORECASE)
 HARMLESS_PATH = re.compile(r"test|example|sample|fixture|mock|spec|doc|lock|vendor", re.IGNORECASE)
@@ -186,7 +193,7 @@ def features(candidate: str, kind: str, before: str, after: str, path: str | Non
     return [
         float(n), float(-(counts * np.log2(counts)).sum()), float(prose.transitions[c[:-1], c[1:]].mean()) if n > 1 else 0.0, dictionary_coverage(candidate, prose.words),
         float(share[2]), float(share[1]), float(share[0]), float(share[3]), float((group[1:] != group[:-1]).sum() / n), float(all(x in "0123456789abcdefABCDEF" for x in candidate)), len(set(candidate)) / n,
-        float(kind == "provider"), float(kind == "assigned"), float(bool(BEFORE.search(before))), float(bool(HARMLESS.search(before))), float(bool(PLACEHOLDER.search(candidate))),
+        float(kind in ("provider", "pem")), float(kind == "assigned"), float(bool(BEFORE.search(before))), float(bool(HARMLESS.search(before))), float(bool(PLACEHOLDER.search(candidate))),
         float(before[-1:] in "\"'" and bool(before)), float(bool(re.search(r"[:=]\s*[\"']?$", before))), known(last), known(first), float(bool(HARMLESS_PATH.search(path or ""))), float(bool(CONFIG_PATH.search(path or ""))),
     ]
 
@@ -220,13 +227,30 @@ class _Run:
         return (s, self.mark) if self.mark >= s + OPAQUE else None
 
 
+def _named(text: str, at: int) -> tuple[str, int, int, int] | None:
+    """(kind, start of the match, start and end of the candidate) of the first named candidate from ``at`` on."""
+    while m := NAMED.search(text, at):
+        kind = m.lastgroup
+        if m.group("name") is None:
+            return kind, m.start(), *m.span(kind)
+        value = VALUE.match(text, m.end()) if SECRET_NAME.search(m.group("name")) else None
+        if value:
+            s, e = value.span(value.lastgroup)
+            while value.lastgroup == "plain" and e - s >= 6 and text[e - 1] in ",;":
+                e -= 1
+            if e - s >= 6:
+                return "assigned", m.start(), s, e
+        at = m.end()  # the value may hold a name of its own
+    return None
+
+
 def _found(text: str) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end): the leftmost candidate, then the leftmost after it; named ones come before opaque ones."""
-    at, run, named, opaque = 0, None, NAMED.search(text), None
+    at, run, named, opaque = 0, None, _named(text, 0), None
     runs = True
     while True:
-        if named and named.start() < at:
-            named = NAMED.search(text, at)
+        if named and named[1] < at:
+            named = _named(text, at)
         if opaque is None or opaque[0] < at:
             opaque, from_ = None, at
             while runs and opaque is None:
@@ -237,9 +261,9 @@ def _found(text: str) -> Iterator[tuple[str, int, int]]:
                 if run:
                     opaque = run.first(from_)
                     from_ = max(from_, run.end)
-        if named and (opaque is None or named.start() <= opaque[0]):
-            yield named.lastgroup, *named.span(named.lastgroup)
-            at = named.end()
+        if named and (opaque is None or named[1] <= opaque[0]):
+            yield named[0], *named[2:]
+            at = named[3]
         elif opaque:
             yield "opaque", *opaque
             at = opaque[1]
@@ -256,61 +280,133 @@ def candidates(text: str | None) -> Iterator[tuple[int, str, str, str, str]]:
             yield s, found, kind, text[max(0, s - BESIDE) : s], text[s + len(found) : s + len(found) + BESIDE]
 
 
-def _made(rng: random.Random, words: list[str]) -> tuple[str, str, str, int]:
-    """(before, candidate, path, label) of one string of a known kind."""
-    hexa = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
-    mixed = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
-    caps = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
-    word = lambda: rng.choice(words)
-    path = rng.choice(("src/app.py", "config/settings.yaml", ".env", "notes.md", "web", "", "tests/fixtures/a.json", "package.lock"))
-    key = rng.choice(("password=", "password: ", 'token = "', "secret=", "api_key='", 'apikey: "', "pwd=", "access_key = ", 'auth_token="', "credential="))
-    if rng.random() < 0.5:
-        kind = rng.randrange(5)
-        if kind == 0:
-            return word() + " ", rng.choice(("AKIA", "ASIA")) + caps(16), path, 1
-        if kind == 1:
-            return key, hexa(rng.choice((16, 18, 20, 32, 40, 64))), path, 1
-        if kind == 2:
-            return key, mixed(rng.randrange(10, 48)), path, 1
-        if kind == 3:
-            return key, mixed(rng.randrange(6, 14)) + rng.choice("!#%&*+-_") + mixed(4), path, 1
-        return word() + " ", rng.choice(("ghp_", "sk_live_", "AIza")) + mixed(36), path, 1
-    kind = rng.randrange(9)
-    if kind == 0:
-        return key, rng.choice(("changeme", "your_password", "xxxxxxxx", "example-token", "${PASSWORD}", "{{secret}}", "********", "placeholder", "test1234", "dummy-secret-1")), path, 0
-    if kind == 1:
-        return rng.choice(("commit ", "sha1: ", "sha256:", "md5=", "checksum: ", "digest=", "etag: ", "revision ")), hexa(rng.choice((32, 40, 64))), path, 0
-    if kind == 2:
-        return rng.choice(("id: ", "uuid=", word() + " ")), str(uuid.UUID(int=rng.getrandbits(128))), path, 0
-    if kind == 3:
-        return word() + " ", "/".join([word(), word(), f"{word()}{rng.randrange(100)}"]), path, 0
-    if kind == 4:
-        return word() + " ", "-".join([word(), word(), str(rng.randrange(2030)), word()]), path, 0
-    if kind == 5:
-        return key, word() + rng.choice(("", "_", "-")) + word(), path, 0
-    if kind == 6:
-        return rng.choice(("build ", "version ", word() + " ")), f"{word()}-{rng.randrange(30)}-{rng.randrange(30)}-{rng.randrange(10**6)}", path, 0
-    if kind == 7:
-        return "image base64 ", base64.b64encode((word() + " " + word() + " " + word()).encode()).decode(), "tests/fixtures/a.json", 0
-    return word() + " ", "".join(rng.choices("0123456789", k=rng.randrange(12, 20))) + rng.choice("abkmpx") * 4, path, 0
-
-
-Finding = tuple[str, str, str, str, str, int]  # candidate, kind, before, after, path, label
-
-
-def labelled_findings(texts: Sequence[str], n: int = FINDINGS, seed: int = 10) -> list[Finding]:
-    """``n`` findings of known kinds and their labels, put between words of ``texts``; only those that the patterns find."""
+LETTERS_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+#: How a value is assigned: (before, after).
+KEYS = (("password=", ""), ("password: ", ""), ('token = "', '"'), ("secret=", ""), ("api_key='", "'"), ('"apikey": "', '"'), ("pwd=", ";"), ("access_key = ", ""), ('auth_token="', '"'), ("credential=", ","), ("token_for_production_db = ", ""), ("password     = ", ""))
+PATHS = ("src/app.py", "config/settings.yaml", ".env", "notes.md", "web", "", "tests/fixtures/a.json", "package.lock")
+
+
+class Maker:
+    """Strings of known kinds between words: each method gives (before, candidate, after, path or None)."""
+
+    def __init__(self, rng: random.Random, words: list[str]):
+        self.rng, self.words = rng, words
+
+    def of(self, chars: str, n: int) -> str:
+        return "".join(self.rng.choices(chars, k=n))
+
+    def hexa(self, *lengths: int) -> str:
+        return self.of("0123456789abcdef", self.rng.choice(lengths))
+
+    def word(self) -> str:
+        return self.rng.choice(self.words)
+
+    def long(self) -> int:
+        return int(16 * 2 ** (8 * self.rng.random()))  # 16 to 4,096
+
+    def base64(self, n: int) -> str:
+        return base64.b64encode(self.rng.randbytes(n)).decode()
+
+    def assigned(self, value: str):
+        return self.rng.choice(KEYS)[0], value, "", None
+
+    def quoted(self, value: str):
+        before, after = self.rng.choice([k for k in KEYS if k[1] in "\"'" and k[1]])
+        return before, value, after, None
+
+    def secret_cloud_key(self):
+        return self.word() + " ", self.rng.choice(("AKIA", "ASIA")) + self.of("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16), "", None
+
+    def secret_provider_key(self):
+        return self.word() + " ", self.rng.choice(("ghp_", "sk_live_", "AIza")) + self.of(LETTERS_DIGITS, 36), "", None
+
+    def secret_hex(self):
+        return self.assigned(self.hexa(16, 18, 20, 32, 40, 64, 128))
+
+    def secret_mixed(self):
+        return self.assigned(self.of(LETTERS_DIGITS, self.rng.randrange(10, 48)))
+
+    def secret_password(self):
+        return self.quoted(self.of(LETTERS_DIGITS, self.rng.randrange(3, 14)) + self.rng.choice("!#%&*+-_;,") + self.of(LETTERS_DIGITS, 4))
+
+    def secret_short(self):
+        return self.assigned(self.of(LETTERS_DIGITS, self.rng.randrange(6, 10)))
+
+    def secret_long(self):
+        return self.assigned(self.of(LETTERS_DIGITS, self.long()))
+
+    def secret_blob(self):
+        return self.rng.choice(KEYS)[0], self.base64(self.long()), "", None
+
+    def secret_web_token(self):
+        part = lambda n: base64.urlsafe_b64encode(self.rng.randbytes(n)).decode().rstrip("=")
+        return self.rng.choice(("token=", "auth: ", "authorization: ")), f"eyJ{part(24)}.eyJ{part(60)}.{part(32)}", "", None
+
+    def secret_private_key(self):
+        kind = self.rng.choice(("RSA ", "EC ", "OPENSSH ", ""))
+        body = self.base64(self.rng.randrange(100, 1500))
+        lines = "\n".join(body[i : i + 64] for i in range(0, len(body), 64))
+        return self.word() + "\n", f"-----BEGIN {kind}PRIVATE KEY-----\n{lines}\n-----END {kind}PRIVATE KEY-----", "\n", None
+
+    def harmless_placeholder(self):
+        return self.assigned(self.rng.choice(("changeme", "your_password", "xxxxxxxx", "example-token", "${PASSWORD}", "{{secret}}", "********", "placeholder", "test1234", "dummy-secret-1")))
+
+    def harmless_digest(self):
+        return self.rng.choice(("commit ", "sha1: ", "sha256:", "md5=", "checksum: ", "digest=", "etag: ", "revision ")), self.hexa(32, 40, 64), "", None
+
+    def harmless_uuid(self):
+        return self.rng.choice(("id: ", "uuid=", self.word() + " ")), str(uuid.UUID(int=self.rng.getrandbits(128))), "", None
+
+    def harmless_path(self):
+        return self.word() + " ", "/".join([self.word(), self.word(), f"{self.word()}{self.rng.randrange(100)}"]), "", None
+
+    def harmless_slug(self):
+        return self.word() + " ", "-".join([self.word(), self.word(), str(self.rng.randrange(2030)), self.word()]), "", None
+
+    def harmless_words_assigned(self):
+        return self.assigned(self.word() + self.rng.choice(("", "_", "-")) + self.word())
+
+    def harmless_sentence(self):
+        return self.rng.choice(("password: ", "token: ", "author: ", "secret: ")), f"{self.word()}{self.word()} {self.word()} {self.word()}", "", None
+
+    def harmless_quoted_prose(self):
+        return self.quoted(" ".join(self.word() for _ in range(self.rng.randrange(2, 6))))
+
+    def harmless_version(self):
+        return self.rng.choice(("build ", "version ", self.word() + " ")), f"{self.word()}-{self.rng.randrange(30)}-{self.rng.randrange(30)}-{self.rng.randrange(10**6)}", "", None
+
+    def harmless_text_blob(self):
+        return "image base64 ", base64.b64encode(" ".join(self.word() for _ in range(3)).encode()).decode(), "", "tests/fixtures/a.json"
+
+    def harmless_integrity(self):
+        return "integrity: ", "sha512-" + self.base64(64), "", "package.lock"
+
+    def harmless_numbers(self):
+        return self.word() + " ", self.of("0123456789", self.rng.randrange(12, 20)) + self.rng.choice("abkmpx") * 4, "", None
+
+    def harmless_name(self):
+        parts = [self.word() for _ in range(3)]
+        return self.word() + " ", parts[0] + "".join(p.title() for p in parts[1:]) + str(self.rng.randrange(1000)), "", None
+
+
+#: The kinds that ``Maker`` makes.
+MADE = tuple(n for n in vars(Maker) if n.startswith(("secret_", "harmless_")))
+Finding = tuple[str, str, str, str, str, int, str]  # candidate, kind, before, after, path, label, kind made
+
+
+def labelled_findings(texts: Sequence[str], n: int = FINDINGS, seed: int = 10, kinds: Sequence[str] = MADE) -> list[Finding]:
+    """``n`` findings of known ``kinds``, half of them secret if both sorts are among these, put between words of ``texts``; only those that the patterns find."""
     rng = random.Random(seed)
     words = [w for t in texts for w in LETTERS.findall(t)[:400] if 3 <= len(w) <= 14 and w.isascii()] or ["word", "other", "more"]
-    out: list[Finding] = []
+    maker, out = Maker(rng, words), []
+    sorts = [s for s in ([k for k in kinds if k.startswith("secret_")], [k for k in kinds if k.startswith("harmless_")]) if s]
     while len(out) < n:
-        before, made, path, label = _made(rng, words)
-        ctx = " ".join(rng.choices(words, k=5))
-        end = '"' if before.endswith('"') else "'" if before.endswith("'") else ""
-        text = f"{ctx} {before}{made}{end} {' '.join(rng.choices(words, k=5))}"
-        hit = next((c for c in candidates(text) if c[1] and c[1] in made and len(c[1]) * 2 > len(made)), None)
+        name = rng.choice(rng.choice(sorts))
+        before, made, after, path = getattr(maker, name)()
+        text = f"{' '.join(rng.choices(words, k=5))} {before}{made}{after} {' '.join(rng.choices(words, k=5))}"
+        hit = next((c for c in candidates(text) if c[1] and c[1] in made and (len(c[1]) * 2 > len(made) or name == "harmless_sentence")), None)
         if hit:
-            out.append((hit[1], hit[2], hit[3], hit[4], path, label))
+            out.append((hit[1], hit[2], hit[3], hit[4], rng.choice(PATHS) if path is None else path, int(name.startswith("secret_")), name))
     return out
 
 
@@ -357,7 +453,8 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, prose: Prose,
 
     ``start`` counts characters from 0; ``digest`` is the start of the
     candidate's SHA-256, so that the result doesn't repeat the secret.
-    ``secret`` is ``score >= threshold``.  Whole texts are read; null and empty
+    ``secret`` is ``score >= threshold``.  Assigned values have six characters
+    or more, opaque runs 16 or more; there is no longest.  Whole texts are read; null and empty
     ones have no candidates, repeated rows give theirs each, a null ``doc_id``
     stays null.  Without a column ``path`` none is known; other columns are
     passed over.  An empty table gives an empty result.

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tamarack.llm.common import drop, fresh, materialise, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bits of a level at most (16 MB): what a task holds of it as a literal.
+#: Bits of a level at most (16 MB), which is one literal; longer lists are cut into parts.
 MAX_BITS = 1 << 27
 
 
@@ -65,10 +65,17 @@ class Level:
         return out
 
 
-def _level(keys: DataFrame, n: int, number: int, rate: float, max_bits: int) -> Level:
-    bits = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64) * 64)
-    if bits > max_bits:
-        raise ValueError(f"{n} keys need {bits} bits, over {max_bits}; judge by parts of the list")
+def _rate(listed: int, others: int) -> float:
+    """The first level's error rate: about as many keys pass it wrongly as are listed."""
+    return min(0.5, max(1e-9, 0.7 * listed / max(1, others)))
+
+
+def _bits(n: int, rate: float) -> int:
+    return max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64) * 64)
+
+
+def _level(keys: DataFrame, n: int, number: int, rate: float) -> Level:
+    bits = _bits(n, rate)
     empty = Level(number, bits, max(1, round(-math.log2(rate))), ())
     at = keys.select(F.explode(F.array(*empty.positions(F.col("key")))).alias("p"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(63).cast("int"))
@@ -81,28 +88,46 @@ def _level(keys: DataFrame, n: int, number: int, rate: float, max_bits: int) ->
 
 @dataclass
 class Cascade:
-    levels: list[Level] = field(default_factory=list)
+    """``parts``: the levels for the keys of each part, told by a hash of the key."""
+
+    parts: list[list[Level]] = field(default_factory=list)
 
     @classmethod
     def build(cls, listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) -> Cascade:
         """Exact for every key of ``universe(key)``: whether it is among ``listed(key)``.
 
         Null keys are in neither; repeated keys count once.  Either table may
-        be empty.  A list whose level would need over ``max_bits`` is refused:
-        the parts of a list can be judged one after the other.
+        be empty.  A list whose first level would need over ``max_bits`` is
+        cut into parts by a hash of the key, each with levels of its own; what
+        a task holds is then all of them, some two bytes a listed key.
         """
         every = universe.where("key is not null").select("key").distinct()
         known = listed.where("key is not null").select("key").distinct()
         inside = materialise(every.join(known, "key", "left_semi"), "listed")
         outside = materialise(every.join(known, "key", "left_anti"), "unlisted")
-        held = [inside, outside]
-        out, encode, other = cls(), inside, outside
+        n, m = inside.count(), outside.count()
+        parts = -(-2 * _bits(n, _rate(n, m)) // max_bits) if n and _bits(n, _rate(n, m)) > max_bits else 1
+        if parts == 1:
+            out = cls([cls._levels(inside, outside)] if n else [])
+        else:
+            of = cls._part(F.col("key"), parts)
+            out = cls([cls._levels(inside.where(of == p), outside.where(of == p)) for p in range(parts)])
+        drop(inside)
+        drop(outside)
+        return out
+
+    @staticmethod
+    def _part(key: Column, parts: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts))
+
+    @staticmethod
+    def _levels(inside: DataFrame, outside: DataFrame) -> list[Level]:
+        held, out, encode, other = [], [], inside, outside
         n, m = encode.count(), other.count()
         while n:
-            rate = 0.5 if out.levels else min(0.5, max(1e-9, 0.7 * n / max(1, m)))
-            level = _level(encode, n, len(out.levels) + 1, rate, max_bits)
-            out.levels.append(level)
-            if len(out.levels) > 200:
+            level = _level(encode, n, len(out) + 1, 0.5 if out else _rate(n, m))
+            out.append(level)
+            if len(out) > 200:
                 raise RuntimeError("the cascade does not end")
             wrong = materialise(other.where(level.holds(F.col("key"))), "wrong")
             held.append(wrong)
@@ -113,10 +138,14 @@ class Cascade:
 
     def listed(self, key: Column) -> Column:
         """Whether a key of the universe is listed; null keys are not."""
-        out = F.lit(len(self.levels) % 2 == 1)
-        for level in reversed(self.levels):
-            out = F.when(~level.holds(key), F.lit(level.number % 2 == 0)).otherwise(out)
-        return F.coalesce(F.when(key.isNotNull(), out), F.lit(False))
+        out = None
+        for p, levels in enumerate(self.parts):
+            answer = F.lit(len(levels) % 2 == 1)
+            for level in reversed(levels):
+                answer = F.when(~level.holds(key), F.lit(level.number % 2 == 0)).otherwise(answer)
+            here = self._part(key, len(self.parts)) == p
+            out = F.when(here, answer) if out is None else out.when(here, answer)
+        return F.coalesce(F.when(key.isNotNull(), out), F.lit(False)) if out is not None else F.lit(False)
 
 
 def host_of(url: Column) -> Column:
