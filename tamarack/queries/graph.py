@@ -25,19 +25,19 @@ WITH RECURSIVE docs AS (
          CASE WHEN o_orderstatus = 'O' THEN 'active' WHEN o_orderstatus = 'F' THEN 'retired' WHEN o_orderpriority LIKE '1%' THEN 'record'
               WHEN o_orderpriority LIKE '2%' THEN 'frozen' WHEN o_orderpriority LIKE '3%' THEN 'unknown' ELSE 'draft' END AS phase,
          o_orderpriority AS priority, o_custkey AS cust, o_orderdate AS date FROM orders),
-docs2 AS (SELECT *, CASE WHEN phase IN ('draft', 'active') THEN 'receptive' WHEN phase = 'unknown' THEN 'unknown' ELSE 'sealed' END AS receptivity,
+docs2 AS MATERIALIZED (SELECT *, CASE WHEN phase IN ('draft', 'active') THEN 'receptive' WHEN phase = 'unknown' THEN 'unknown' ELSE 'sealed' END AS receptivity,
                  phase = 'record' AND cust % 2 = 0 AS history FROM docs),
 lines AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS n,
                  l_linestatus || l_returnflag AS code, l_returnflag AS flag, l_partkey AS part, l_discount AS discount FROM lineitem),
-items AS (SELECT *, 'ORD-' || k || '#line.' || n AS id, 'line ' || n || ' part ' || part AS text,
+items AS MATERIALIZED (SELECT *, 'ORD-' || k || '#line.' || n AS id, 'line ' || n || ' part ' || part AS text,
                  CASE code WHEN 'ON' THEN 'unresolved' WHEN 'OA' THEN 'delegated' WHEN 'OR' THEN 'narrowed' WHEN 'FN' THEN 'satisfied' WHEN 'FA' THEN 'accepted-debt' ELSE 'obviated' END AS disposition,
                  CASE WHEN code IN ('ON', 'OA') THEN 'open' WHEN code = 'OR' THEN 'partial' ELSE 'closed' END AS openness FROM lines),
-nodes AS (
+nodes AS MATERIALIZED (
   SELECT id, 'document' AS kind, id AS document, k, 0 AS n, path, phase, receptivity, history, raw_status, priority AS title, priority, cust, CAST(NULL AS VARCHAR) AS text, CAST(NULL AS VARCHAR) AS flag, CAST(NULL AS VARCHAR) AS disposition, CAST(NULL AS VARCHAR) AS openness, false AS conflicted, k * 1000 AS node_ord FROM docs2
   UNION ALL
   SELECT i.id, 'item', 'ORD-' || i.k, i.k, i.n, d.path, d.phase, d.receptivity, d.history, d.raw_status, i.text, NULL, NULL, i.text, i.flag, i.disposition, i.openness, i.disposition = 'obviated' AND i.discount > 0.05, i.k * 1000 + i.n FROM items i JOIN docs2 d ON i.k = d.k),
-linked AS (SELECT k, cust, path, k - k % 10 + ((k % 10) * (k % 10) + 1) % 10 AS f, lag(k) OVER (PARTITION BY cust ORDER BY date, k) AS prev FROM docs2),
-edges AS (
+linked AS MATERIALIZED (SELECT k, cust, path, k - k % 10 + ((k % 10) * (k % 10) + 1) % 10 AS f, lag(k) OVER (PARTITION BY cust ORDER BY date, k) AS prev FROM docs2),
+edges AS MATERIALIZED (
   SELECT 'contains' AS kind, 'ORD-' || k AS f, id AS t, false AS reflexive, (CAST(1 AS BIGINT) << 50) + k * 1000 + n AS edge_ord, 'ORD-' || k AS file, false AS both_say FROM items
   UNION ALL SELECT 'supersedes', 'ORD-' || k, 'ORD-' || prev, false, (CAST(2 AS BIGINT) << 50) + k, path, k % 2 = 0 FROM linked WHERE prev IS NOT NULL
   UNION ALL SELECT 'depends-on', 'ORD-' || k, 'ORD-' || f, false, (CAST(3 AS BIGINT) << 50) + k, path, false FROM linked
@@ -188,7 +188,7 @@ def _dedupe(g):
 HANDED = ", handed AS (SELECT DISTINCT e.f FROM edges e JOIN nodes b ON b.id = e.t WHERE e.kind = 'delegates-to' AND b.receptivity <> 'sealed') "
 
 
-@over_graph("handed_on_anti", HANDED + "SELECT id, openness FROM nodes WHERE kind = 'item' AND openness <> 'closed' AND id NOT IN (SELECT f FROM handed)")
+@over_graph("handed_on_anti", HANDED + "SELECT id, openness FROM nodes WHERE kind = 'item' AND openness <> 'closed' AND NOT EXISTS (SELECT 1 FROM handed h WHERE h.f = id)")
 def _handed(g):
     return g.items.where("openness <> 'closed'").join(rules.handed_on(g), "id", "left_anti").select("id", "openness")
 
@@ -241,7 +241,7 @@ inner_edge AS (SELECT a.c, arg_min(x.file, x.edge_ord) AS file FROM duty x JOIN
 SELECT 'circular-delegation' AS rule, 'delegation cycle across ' || n || ' documents: nothing in it can ever land' AS message, file, 1 AS line, nodes, 'break the loop: one of these must own the work outright, or be closed' AS hint
 FROM good JOIN inner_edge USING (c)
 """
-ORPHANED_SQL = """, held AS (SELECT document, count(*) AS n, string_agg(id, ',' ORDER BY node_ord) AS items FROM nodes WHERE kind = 'item' AND openness <> 'closed' AND phase IN ('retired', 'frozen') AND id NOT IN (SELECT f FROM handed) GROUP BY 1)
+ORPHANED_SQL = """, held AS (SELECT document, count(*) AS n, string_agg(id, ',' ORDER BY node_ord) AS items FROM nodes WHERE kind = 'item' AND openness <> 'closed' AND phase IN ('retired', 'frozen') AND NOT EXISTS (SELECT 1 FROM handed h WHERE h.f = id) GROUP BY 1)
 SELECT 'orphaned-obligation' AS rule, d.phase || ' document still holds ' || n || ' open ' || CASE WHEN n = 1 THEN 'obligation' ELSE 'obligations' END AS message, d.path AS file, 2 AS line, d.id || ',' || items AS nodes,
        'move each one to a live document or close it - as it stands, ' || CASE WHEN n = 1 THEN 'it disappears' ELSE 'they disappear' END || ' with ' || d.id AS hint
 FROM held JOIN docs2 d ON d.id = held.document
