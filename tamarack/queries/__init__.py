@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tamarack.queries import functions, graph, relations
+from tamarack.queries import functions, graph, markdown, relations
 
 QUERIES, ORACLE_SQL = {}, {}
-for _part in (graph, functions, relations):
+for _part in (graph, functions, relations, markdown):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.SQL

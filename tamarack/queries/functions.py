@@ -165,12 +165,6 @@ def _glob(spark, sf_dir):
     return _ref(spark, sf_dir).select("k", X.suggest_reference_glob(F.col("ref")).alias("glob"))
 
 
-@query("bare_refs", r"WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]{1,15}-[0-9]{1,6}')) AS ref FROM documents) SELECT doc_id, ref, count(*) AS n FROM m GROUP BY 1, 2")
-def _bare(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9_]{1,15}-[0-9]{1,6}"), F.lit(0))).alias("ref"))
-    return found.groupBy("doc_id", "ref").agg(F.count("*").alias("n"))
-
-
 @query("glob_filter", r"WITH p AS (SELECT o_orderkey AS k, 'orders/' || o_custkey || '/' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '.md' ELSE '.txt' END AS path FROM orders) SELECT k, path FROM p WHERE (regexp_full_match(path, 'orders/1[^/]*/[^/]*\.md') OR regexp_full_match(path, 'orders/(2|30)/.*')) AND NOT regexp_full_match(path, '(.*/)?[^/]*[5-7]\.(md|txt)')")
 def _globs(spark, sf_dir):
     k = F.col("o_orderkey")

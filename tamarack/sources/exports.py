@@ -45,6 +45,12 @@ _NODE = "id string, kind string, title string, file string, line int, path strin
 _EDGE = "kind string, from string, to string, origin string, declaredIn array<string>, file string, line int"
 
 
+def read_generator(spark: SparkSession, path: str) -> dict | None:
+    """What program and version a graph export says it was made by."""
+    r = spark.read.schema("generator struct<name:string,version:string>").json(path, multiLine=True).first()
+    return None if r is None or r.generator is None else r.generator.asDict()
+
+
 def read_graph_export(spark: SparkSession, path: str) -> SpecGraph:
     """A graph export of version 1, one JSON object over any number of lines."""
     raw = spark.read.schema(f"version int, nodes array<struct<{_NODE.replace(' ', ':').replace(',:', ',')}>>, edges array<struct<{_EDGE.replace(' ', ':').replace(',:', ',')}>>").json(path, multiLine=True)

@@ -292,6 +292,23 @@ def _status(s: Scan, fm: dict[str, list[str]], node: dict | None, within: tuple[
     return None, None
 
 
+def _anchors(headings) -> list[str]:
+    return list(dict.fromkeys(x for h in headings for x in (h.slug, h.anchor)))
+
+
+#: A negation as the whole of a code span: it denies like one in the text.
+_CODED_NO = re.compile(r"(?<!`)(`+) ?(no|not|no-one|nobody|none|never|neither|nor|nothing|without) ?\1(?!`)", re.I)
+
+
+def with_coded_negations(masked: str, text: str) -> str:
+    """``masked`` with the negations that ``text`` has in code spans."""
+    out, last = [], 0
+    for m in _CODED_NO.finditer(text):
+        out += [masked[last : m.start(2)], m.group(2)]
+        last = m.end(2)
+    return "".join([*out, masked[last:]])
+
+
 def extract(path: str, text: str) -> list[dict]:
     """A file's own specification, then its regions: headings with an id and a status, and rows of registers."""
     s = scan(text)
@@ -320,7 +337,7 @@ def extract(path: str, text: str) -> list[dict]:
     title = attr(node, "title") or (fm.get("title") or [None])[0] or (h1.text if h1 else None) or stem_of(path)
     record = (attr(node, "kind") or "").lower() in ("log", "record", "history") or (attr(node, "history") or "").lower() == "true"
     own = spec(identify(path, declared, aliases, h1.text if h1 else None), title, h1.start if h1 else 0, _status(s, fm, node, (0, len(text))), True, fm, None, record)
-    own["anchors"] = list(dict.fromkeys(x for h in s.headings for x in (h.slug, h.anchor)))
+    own["anchors"] = _anchors(s.headings)
     inherited = {k: v for k, v in fm.items() if k not in (*ID_KEYS, *STATUS_KEYS, "title", "alias", "aliases") and re.sub(r"[^a-z0-9]", "", k) not in _FOLDED}
     claimed: list[tuple[int, int]] = []
     for k, h in enumerate(s.headings):
@@ -340,6 +357,7 @@ def extract(path: str, text: str) -> list[dict]:
         ident = identify(path, attr(local, "id") or m.group(1), [], None, False)
         if ident["id"] != own["id"]:
             spans.append((h.start, end, spec(ident, re.sub(r"^[\s:.–—-]+", "", h.text[m.end() :]) or h.text, h.start, status, False, inherited, own["id"], False)))
+            specs[-1]["anchors"] = _anchors(x for x in s.headings if h.start <= x.start < end)
     column_refs = []
     for t in s.tables:
         schema = _register(t)
@@ -415,17 +433,18 @@ def extract(path: str, text: str) -> list[dict]:
                 if target := attr(d, name):
                     owner(d["start"])["refs"].append({"kind": kind, "from": holder(d["start"]), "target": target, "origin": "directive", **place(d["attrs"][name][1]), "raw": f'@spec-edge kind="{written}" {name}="{target}"', "inverted": name == "from", "opportunistic": False})
     linked = set()
+    prose = with_coded_negations(s.masked, s.text)
     taken = lambda at: any(a <= at < b for a, b in claimed)
     for link in s.links:
         target = clean_target(link.target)
         if not target or external(target) or taken(link.start):
             continue
-        kind, back = classify(s.masked, link.start, link.end, s.section(link.start))
+        kind, back = classify(prose, link.start, link.end, s.section(link.start))
         linked.add(normalise_ref(target.split("#")[0]))
         owner(link.start)["refs"].append({"kind": kind, "from": holder(link.start), "target": target, "origin": "link", **place(link.target_start), "raw": link.raw, "inverted": back, "opportunistic": False})
     for word, at in bare_references(s):
         if normalise_ref(word) not in linked and not taken(at):
-            kind, back = classify(s.masked, at, at + len(word), s.section(at))
+            kind, back = classify(prose, at, at + len(word), s.section(at))
             owner(at)["refs"].append({"kind": kind, "from": holder(at), "target": word, "origin": "text", **place(at), "raw": word, "inverted": back, "opportunistic": True})
     own["problems"] = [{"message": m, "line": s.place(at)[0]} for m, at in s.front.problems] + ([{"message": "the file holds NUL characters", "line": 1}] if "\0" in text else [])
     for row in specs:

@@ -261,7 +261,8 @@ def _scalar(raw: str) -> str | None:
         return m.group(2) if m else None
     if raw[:1] in ("|", ">", "&", "*", "!", "{", "["):
         return None
-    return re.sub(r"\s+#.*$", "", raw).strip()
+    plain = re.sub(r"\s+#.*$", "", raw).strip()
+    return None if re.search(r":(?:\s|$)", plain) else plain  # a key within the value: a mapping, which isn't read
 
 
 _ITEM = re.compile(r"^([ \t>]*)(?:[-*+]|\d{1,9}[.)])[ \t]+(?:\[(.)\](?=[ \t]|$)[ \t]*)?")

@@ -130,12 +130,25 @@ def test_exports_and_diff(spark, tmp_path):
     text = [r.text for r in report.graph_lines(g).orderBy("part", "ord").collect()]
     assert text[0] == "digraph specs {" and '  "A" -> "B" [label="depends-on"];' in text and text[-1] == "}"
     found = rules.run_rules(g)
-    sarif = json.loads(report.sarif(found))
-    assert [r["id"] for r in sarif["runs"][0]["tool"]["driver"]["rules"]] == sorted({r.rule for r in found.collect()})
-    assert "stale-premise" in report.human(found) and report.markdown(found).count("\n") == found.count() + 1
+    from tamarack.plans.analysis import summary
+
+    run = report.Run(summary(g, found).first(), ("stale-premise",), "base.json", 2, 3, 1, True, 4, True)
+    sarif = json.loads("\n".join(report.sarif(found, run)))
+    rules_of = sarif["runs"][0]["tool"]["driver"]["rules"]
+    assert [r["id"] for r in rules_of] == sorted({r.rule for r in found.collect()}) and all(r["shortDescription"]["text"] and r["defaultConfiguration"]["level"] in ("error", "warning", "note") for r in rules_of)
+    results = sarif["runs"][0]["results"]
+    assert len(results) == found.count() and all(rules_of[r["ruleIndex"]]["id"] == r["ruleId"] and r["properties"]["escalated"] == (r["ruleId"] == "stale-premise") for r in results)
+    whole = json.loads("\n".join(report.json_report(found, run, spark.createDataFrame([("b.md",), ('a "q".md',)], "path string"))))
+    assert whole["version"] == 1 and not whole["ok"] and whole["summary"]["errors"] == run.counts.errors and whole["files"] == ['a "q".md', "b.md"] and len(whole["diagnostics"]) == found.count() and whole["problems"] == []
+    for colour, plain in ((False, True), (True, False)):
+        text = "\n".join(report.human(found, run, 1, colour, plain))
+        assert "4 front-matter values not read" in text and "3 baseline entries no longer occur - 1 of them" in text and "2 accepted by base.json" in text and text.endswith("the specification graph is inconsistent") and ("\x1b[" in text) == colour
+        assert f"... and {found.count() - 1} more" in text
+    table = "\n".join(report.markdown(found, run))
+    assert table.startswith("### tamarack\n\nThe specification graph is inconsistent.") and table.count("<br>") == found.count() and "(strict)" in table
     assert report.annotations(found).first().text.startswith("::")
-    assert {json.loads(r.json)["severity"] for r in report.code_quality(found).collect()} <= {"major", "minor", "info"}
-    assert json.loads(report.json_lines(found).first().json)["at"]["line"] == 1
+    assert {json.loads(r.json)["severity"] for r in report.code_quality(found).collect()} <= {"critical", "minor", "info"}
+    assert json.loads(report.json_lines(found).first().json)["line"] == 1
 
 
 def test_innermost_intervals(spark):
