@@ -96,7 +96,7 @@ selector("step_out", FLAGSHIP, hop("e.kind = 'contains' AND a.receptivity = 'sea
 selector("step_in", "document[phase=active] <-delegates-to- item[fm.x!=1]", hop("e.kind = 'delegates-to' AND a.phase = 'active'", "t", "f"), 2)
 selector("step_multi_kind", "document -supersedes,depends-on-> document[phase=retired]", hop("e.kind IN ('supersedes', 'depends-on') AND a.kind = 'document' AND b.phase = 'retired'"), 2)
 selector("step_any_kind", "document[fm.priority=1-URGENT] -*-> document", hop("a.priority = '1-URGENT' AND b.kind = 'document'"), 2)
-selector("step_reflexive_excluded", "item[openness=partial] -*-> *", hop("a.openness = 'partial'"), 2)
+selector("step_reflexive_excluded", "item[openness!=closed] -*-> *", hop("a.kind = 'item' AND a.openness <> 'closed'"), 2)
 selector("step_reflexive_allowed", "item[openness=partial] -*-> *", hop("a.openness = 'partial'").replace("NOT e.reflexive AND ", ""), 2, allow_reflexive=True)
 selector("step_dedupe", "document -depends-on,supersedes-> *", hop("e.kind IN ('supersedes', 'depends-on')"), 2)
 selector("step_chain", "document[phase=draft] -contains-> item -delegates-to-> document[phase!=active]",
