@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tamarack.functions import text as X
 from tamarack.plans.globs import glob_filter
 from tamarack.sources.tables import table
+from tamarack.vocab import DOCUMENT_EXTENSIONS, FAMILY_DIRECTORIES, PHASE_WORDS, STATUS_HEADINGS
 
 QUERIES, SQL = {}, {}
 
@@ -57,14 +58,32 @@ def _pick(which, values):
 NORM = r"""trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(status, '<[^>]*>', ' ', 'g'), '([\p{L}\p{N}])_([\p{L}\p{N}])', '\1 \2', 'g'), '[`*_~"''#]', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[0-9]{4}-[0-9]{2}-[0-9]{2}', ' ', 'g')), '[^\p{L}\p{N}]+', ' ', 'g'))"""
 
 
+#: Phases by words, in the order of precedence; terms with hyphens count anywhere in the text.
+PHASE = "CASE " + " ".join(
+    "WHEN " + " OR ".join([f"len(list_intersect(string_split(text, ' '), {[t for t in terms if '-' not in t]!r})) > 0"] * any("-" not in t for t in terms) + [f"contains(replace(text, ' ', '-'), '{t}')" for t in terms if "-" in t]) + f" THEN '{phase}'"
+    for phase, terms in PHASE_WORDS
+) + " ELSE 'unknown' END"
+#: Each term of the vocabulary in turn, between other words.
+TERMS = [t for _, terms in PHASE_WORDS for t in terms]
+TERM_SQL = f"SELECT o_orderkey AS k, 'It is *' || upper(({TERMS!r})[o_orderkey % {len(TERMS)} + 1]) || '* ' || CASE o_orderkey % 3 WHEN 0 THEN 'and draft' WHEN 1 THEN '2020-01-02' ELSE o_orderstatus END AS status FROM orders"
+HEADINGS = ["Status", "**Current Status** ", "Statuses", "", "STATE", "_Lifecycle_", "Stage `", "My status"]
+KEYS = ["Depends_On", "de-pends", "X 1", "superseded-by", "Blocked By"]
+NAMES = [" Adr ", "x_1", "1x", "ADR2", "a-b", "", "rfc", "averyveryverylongname", "q", "A1B2"]
+PREFIX_RE = r"^([A-Za-z][A-Za-z0-9_]{0,15}?)[\s._-]*([0-9]{1,6})$"
+DOCUMENT_RE = rf"(?i)\.({'|'.join(DOCUMENT_EXTENSIONS)})$"
+
+
 @query("fn_normalise_status", STATUS_SQL + f"SELECT k, {NORM} AS text FROM s")
 def _normalise_status(spark, sf_dir):
     return _status(spark, sf_dir).select("k", X.normalise_status(F.col("status")).alias("text"))
 
 
-@query("fn_phase_of", STATUS_SQL + "SELECT k, CASE k % 8 WHEN 0 THEN 'active' WHEN 1 THEN 'retired' WHEN 2 THEN 'draft' WHEN 3 THEN 'frozen' WHEN 4 THEN 'draft' WHEN 5 THEN 'unknown' WHEN 6 THEN 'retired' ELSE 'active' END AS phase, CASE k % 8 WHEN 0 THEN 'receptive' WHEN 1 THEN 'sealed' WHEN 2 THEN 'receptive' WHEN 3 THEN 'sealed' WHEN 4 THEN 'receptive' WHEN 5 THEN 'unknown' WHEN 6 THEN 'sealed' ELSE 'receptive' END AS receptivity FROM s")
+@query("fn_phase_of", STATUS_SQL + f", a AS (SELECT k, status FROM s UNION ALL SELECT k + 1000000000, status FROM ({TERM_SQL}) t), n AS (SELECT k, {NORM} AS text FROM a), p AS (SELECT k, {PHASE} AS phase FROM n) SELECT k, phase, CASE WHEN phase IN ('draft', 'active') THEN 'receptive' WHEN phase = 'unknown' THEN 'unknown' ELSE 'sealed' END AS receptivity FROM p")
 def _phase_of(spark, sf_dir):
-    phased = _status(spark, sf_dir).select("k", X.phase_of(F.col("status")).alias("phase"))
+    k = F.col("o_orderkey")
+    term = F.upper(F.element_at(F.array(*map(F.lit, TERMS)), (k % len(TERMS) + 1).cast("int")))
+    more = table(spark, sf_dir, "orders").select((k + 1000000000).alias("k"), F.concat(F.lit("It is *"), term, F.lit("* "), F.when(k % 3 == 0, "and draft").when(k % 3 == 1, "2020-01-02").otherwise(F.col("o_orderstatus"))).alias("status"))
+    phased = _status(spark, sf_dir).unionAll(more).select("k", X.phase_of(F.col("status")).alias("phase"))
     return phased.withColumn("receptivity", X.receptivity_of(F.col("phase")))
 
 
@@ -74,7 +93,8 @@ def _phase_from_path(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.phase_from_path(F.col("html")).alias("by_html"), X.phase_from_path(folder).alias("by_folder"))
 
 
-@query("fn_supersession_targets", STATUS_SQL + "SELECT k, CASE k % 8 WHEN 1 THEN 'ORD-' || (k // 2) || '|RFC 7|KEP-' || k WHEN 6 THEN 'x.md|y' ELSE '' END AS targets FROM s")
+@query("fn_supersession_targets", STATUS_SQL + r""", t AS (SELECT k, regexp_extract(regexp_replace(status, '[`*_]', '', 'g'), '(?is)(?:super[sc]eded|replaced|obsoleted)\s*(?:by|with|through)?\s*[:\-\x{2013}\x{2014}]?\s*([^\n\r]+)', 1) AS tail FROM s)
+SELECT k, array_to_string(list_filter(list_transform(string_split_regex(tail, '[,;]|\band\b'), lambda x: trim(regexp_replace(regexp_replace(x, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[()<>"'']', ' ', 'g'))), lambda x: length(x) BETWEEN 1 AND 199), '|') AS targets FROM t""")
 def _targets(spark, sf_dir):
     return _status(spark, sf_dir).select("k", F.array_join(X.supersession_targets(F.col("status")), "|").alias("targets"))
 
@@ -84,7 +104,9 @@ def _normalise_ref(spark, sf_dir):
     return _ref(spark, sf_dir).select("k", X.normalise_ref(F.col("ref")).alias("norm"))
 
 
-@query("fn_parse_prefixed", REF_SQL + "SELECT k, CASE WHEN k < 1000000 THEN CASE k % 10 WHEN 0 THEN 'ORD' END END AS family, CASE WHEN k < 1000000 THEN CASE k % 10 WHEN 0 THEN CAST(k AS INTEGER) END END AS number, CASE WHEN k % 10 = 2 THEN CAST(k AS INTEGER) END AS bare, k % 10 IN (0, 4, 5, 6, 8, 9) AS cited FROM r")
+@query("fn_parse_prefixed", REF_SQL + rf""", c AS (SELECT k, ref, regexp_replace(trim(ref), '^[#(\[]+', '') AS x FROM r)
+SELECT k, upper(nullif(regexp_extract(x, '{PREFIX_RE}', 1), '')) AS family, CAST(nullif(regexp_extract(x, '{PREFIX_RE}', 2), '') AS INTEGER) AS number, CAST(nullif(regexp_extract(trim(ref), '^#?([0-9]{{1,6}})$', 1), '') AS INTEGER) AS bare,
+ regexp_matches(x, '{PREFIX_RE}') OR contains(ref, '/') OR regexp_matches(ref, '{DOCUMENT_RE}') AS cited FROM c""")
 def _prefixed(spark, sf_dir):
     c = F.col("ref")
     return _ref(spark, sf_dir).select("k", X.prefixed_family(c).alias("family"), X.prefixed_number(c).alias("number"), X.bare_number(c).alias("bare"), X.looks_like_citation(c).alias("cited"))
@@ -95,7 +117,9 @@ def _anchor(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.anchor_target(F.col("url")).alias("target"), X.anchor_of(F.col("url")).alias("anchor"))
 
 
-@query("fn_is_document_target", REF_SQL + "SELECT k, k % 10 NOT IN (5, 6) OR k % 10 = 5 AS document, k % 10 = 5 AS external, k % 10 IN (4, 5, 6, 8, 9) AS path FROM r".replace("k % 10 NOT IN (5, 6) OR k % 10 = 5", "k % 10 NOT IN (6, 7)"))
+@query("fn_is_document_target", REF_SQL + rf""", b AS (SELECT k, ref, regexp_extract(split_part(ref, '#', 1), '[^/]*$') AS base FROM r), e AS (SELECT *, regexp_extract(base, '\.[^.]*$') AS ext FROM b)
+SELECT k, ext = '' OR NOT regexp_matches(ext, '^\.[A-Za-z][A-Za-z0-9]*$') OR regexp_matches(base, '{DOCUMENT_RE}') AS document, regexp_matches(ref, '(?i)^[a-z][a-z0-9+.-]*:') AND NOT regexp_matches(ref, '(?i)^[a-z]:[\\/]') AS external,
+ contains(ref, '/') OR regexp_matches(ref, '{DOCUMENT_RE}') AS path FROM e""")
 def _document_target(spark, sf_dir):
     c = F.col("ref")
     return _ref(spark, sf_dir).select("k", X.is_document_target(c).alias("document"), X.is_external(c).alias("external"), X.looks_like_path(c).alias("path"))
@@ -116,11 +140,9 @@ def _near(spark, sf_dir):
     return w.select("w", F.explode(forms).alias("u")).select("w", "u", X.within_one_edit(F.col("w"), F.col("u")).alias("near"))
 
 
-@query("fn_paths", REF_SQL + r"""SELECT r.k, CASE r.k % 10 WHEN 4 THEN 'orders/' || o_custkey || '/' || r.k || '.md#top' WHEN 5 THEN 'base/https:/example.com/' || r.k ELSE 'base/' || ref END AS resolved,
- regexp_replace(ref, '^.*/', '') AS base, CASE WHEN contains(ref, '/') THEN regexp_replace(ref, '/[^/]*$', '') ELSE '' END AS dir,
- CASE r.k % 10 WHEN 4 THEN '.md#top' WHEN 6 THEN '.png' WHEN 7 THEN '.v' || r.k WHEN 8 THEN '.txt' WHEN 9 THEN '.md' WHEN 1 THEN '.' ELSE '' END AS ext, r.k % 10 = 99 AS absolute,
- CASE r.k % 10 WHEN 9 THEN 'archive' WHEN 4 THEN CAST(r.k AS VARCHAR) WHEN 6 THEN CAST(r.k AS VARCHAR) WHEN 7 THEN 'Notes' WHEN 8 THEN r.k || '+c' WHEN 1 THEN '[#rfc_' || r.k || ')' WHEN 5 THEN CAST(r.k AS VARCHAR) ELSE ref END AS stem
- FROM r JOIN orders ON o_orderkey = r.k""")
+@query("fn_paths", REF_SQL + r""", b AS (SELECT k, ref, regexp_extract(ref, '[^/]*$') AS base, CASE WHEN contains(ref, '/') THEN regexp_replace(ref, '/[^/]*$', '') ELSE '' END AS dir FROM r),
+n AS (SELECT *, list_reduce(list_concat([CAST([] AS VARCHAR[])], list_transform(string_split('base/' || ref, '/'), lambda p: [p])), lambda a, p: CASE WHEN p[1] IN ('', '.') THEN a WHEN p[1] = '..' THEN a[:-2] ELSE list_concat(a, p) END) AS parts, regexp_replace(base, '\.[^.]*$', '') AS name FROM b)
+SELECT k, array_to_string(parts, '/') AS resolved, base, dir, lower(regexp_extract(base, '\.[^.]*$')) AS ext, starts_with(ref, '/') AS absolute, CASE WHEN lower(name) IN ('readme', 'index') THEN regexp_extract(dir, '[^/]*$') ELSE name END AS stem FROM n""")
 def _paths(spark, sf_dir):
     c = F.col("ref")
     return _ref(spark, sf_dir).select("k", X.resolve_from(F.lit("base/index.md"), c).alias("resolved"), X.basename(c).alias("base"), X.dirname(c).alias("dir"), X.extname(c).alias("ext"), X.is_absolute_path(c).alias("absolute"), X.file_stem(c).alias("stem"))
@@ -133,25 +155,30 @@ def _summarise(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.summarise(t).alias("line"), X.truncate(flat).alias("short"))
 
 
-@query("fn_percent_decoded", REF_SQL + "SELECT k, CASE WHEN k % 10 = 8 THEN 'a b/' || k || '+c.TXT' ELSE ref END AS decoded FROM r")
+@query("fn_percent_decoded", REF_SQL + "SELECT k, url_decode(ref) AS decoded FROM r")
 def _decoded(spark, sf_dir):
     return _ref(spark, sf_dir).select("k", X.percent_decoded(F.col("ref")).alias("decoded"))
 
 
-@query("fn_family", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'ADR' WHEN o_orderkey % 3 = 1 THEN 'RFC' END AS family, o_orderkey % 3 < 2 AS named FROM orders")
+@query("fn_family", rf"""WITH p AS (SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'docs/RFCS/decisions/' WHEN 1 THEN 'specs/rfc/x/' WHEN 2 THEN 'a/' || lower(substr(o_orderpriority, 3, 3)) || '/adr/../' ELSE '' END || o_orderkey || CASE WHEN o_orderkey % 5 = 0 THEN '/adr' ELSE '.md' END AS path,
+ ({NAMES!r})[o_orderkey % {len(NAMES)} + 1] AS name FROM orders),
+d AS (SELECT *, list_transform(list_reverse(string_split(lower(path), '/')[:-2]), lambda x: (MAP {FAMILY_DIRECTORIES!r})[x]) AS families FROM p)
+SELECT k, list_filter(families, lambda f: f IS NOT NULL)[1] AS family, coalesce(upper(nullif(regexp_extract(trim(name) || '-0', '{PREFIX_RE}', 1), '')) = upper(trim(name)), false) AS named FROM d""")
 def _family(spark, sf_dir):
     k = F.col("o_orderkey")
-    path = F.when(k % 3 == 0, F.concat(F.lit("docs/RFCS/decisions/"), k, F.lit(".md"))).when(k % 3 == 1, F.concat(F.lit("specs/rfc/x/"), k)).otherwise(F.concat(F.lit("notes/"), k, F.lit("/adr")))
-    name = F.when(k % 3 == 0, " Adr ").when(k % 3 == 1, "x_1").otherwise("1x")
+    folder = F.when(k % 4 == 0, "docs/RFCS/decisions/").when(k % 4 == 1, "specs/rfc/x/").when(k % 4 == 2, F.concat(F.lit("a/"), F.lower(F.substring("o_orderpriority", 3, 3)), F.lit("/adr/../"))).otherwise("")
+    path = F.concat(folder, k, F.when(k % 5 == 0, "/adr").otherwise(".md"))
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (k % len(NAMES) + 1).cast("int"))
     return table(spark, sf_dir, "orders").select(k.alias("k"), X.family_from_path(path).alias("family"), X.is_family_name(name).alias("named"))
 
 
-@query("fn_status_heading", "SELECT o_orderkey AS k, o_orderkey % 4 < 2 AS heading, CASE o_orderkey % 4 WHEN 0 THEN 'dependson' WHEN 1 THEN 'depends' ELSE 'x' || o_orderkey END AS folded FROM orders")
+@query("fn_status_heading", f"""WITH h AS (SELECT o_orderkey AS k, ({HEADINGS!r})[o_orderkey % {len(HEADINGS)} + 1] || CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 3 = 1 THEN ':' ELSE o_orderstatus END AS text, ({KEYS!r})[o_orderkey % {len(KEYS)} + 1] || '_' || o_orderpriority AS key FROM orders)
+SELECT k, trim(regexp_replace(lower(text), '[:*_`]', '', 'g')) IN {STATUS_HEADINGS!r} AS heading, regexp_replace(lower(key), '[^a-z0-9]', '', 'g') AS folded FROM h""")
 def _heading(spark, sf_dir):
     k = F.col("o_orderkey")
-    text = F.when(k % 4 == 0, "Status:").when(k % 4 == 1, "**Current Status** ").when(k % 4 == 2, "Statuses").otherwise("")
-    key = F.when(k % 4 == 0, "Depends_On").when(k % 4 == 1, "de-pends").otherwise(F.concat(F.lit("X "), k))
-    return table(spark, sf_dir, "orders").select(k.alias("k"), X.is_status_heading(text).alias("heading"), X.fold_relation_key(key).alias("folded"))
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    text = F.concat(pick(HEADINGS), F.when(k % 3 == 0, "").when(k % 3 == 1, ":").otherwise(F.col("o_orderstatus")))
+    return table(spark, sf_dir, "orders").select(k.alias("k"), X.is_status_heading(text).alias("heading"), X.fold_relation_key(F.concat(pick(KEYS), F.lit("_"), "o_orderpriority")).alias("folded"))
 
 
 @query("fn_escapes", r"""SELECT doc_id, md5(replace(replace(replace(text, '%', '%25'), chr(13), '%0D'), chr(10), '%0A')) AS data, md5(replace(replace(replace(replace(replace(text, '%', '%25'), chr(13), '%0D'), chr(10), '%0A'), ':', '%3A'), ',', '%2C')) AS property, md5(replace(replace(text, '\', '\\'), '"', '\"')) AS dot FROM documents""")
