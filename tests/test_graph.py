@@ -177,5 +177,16 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["check", *root, "--record-baseline", str(tmp_path / "b.json")], spark) == 0
     assert main(["check", *root, "--baseline", str(tmp_path / "b.json"), "--format", "json"], spark) == 0
     assert main(["check", *root, "--rule", "stale-premise=off"], spark) == 0 and main(["check", *root, "--rule", "x=y"], spark) == 2
+    for wrong in (["--config", "x", "--no-config"], ["--record-baseline", "a", "--baseline", "b"], ["--max", "-1"], ["--ascii", "--format", "json"], ["--family", "adr", "--ignore-family", "ADR"], ["--family", "NOSUCH"]):
+        assert main(["check", *root, *wrong], spark) == 2, wrong
+    capsys.readouterr()
+    assert main(["check", *root, "--format", "json"], spark) == 1 and json.loads(capsys.readouterr().out)["version"] == 1
+    assert main(["check", *root, "--format", "sarif"], spark) == 1 and json.loads(capsys.readouterr().out)["version"] == "2.1.0"
+    assert main(["check", *root, "--format", "gitlab"], spark) == 1 and all(r["fingerprint"] for r in json.loads(capsys.readouterr().out))
+    assert main(["graph", *root, "--graph-format", "json"], spark) == 0
+    (tmp_path / "export.json").write_text(capsys.readouterr().out)
+    for form, start in (("text", "No relational change."), ("markdown", "### tamarack diff"), ("json", "{")):
+        assert main(["diff", str(tmp_path / "export.json"), str(tmp_path / "export.json"), "--format", form], spark) == 0 and capsys.readouterr().out.startswith(start)
+    assert main(["rules", "stale-premise", "--explain"], spark) == 0 and "rests on" in capsys.readouterr().out
     assert main(["rules", "self-reference"], spark) == 0 and main(["graph", *root, "--graph-format", "mermaid", "--documents-only"], spark) == 0
     assert "graph LR" in capsys.readouterr().out
