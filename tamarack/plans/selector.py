@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tamarack.operators.closure import shortest_paths
 from tamarack.operators.graph import SpecGraph
-from tamarack.plans.pattern import PatternError, java_pattern
+from tamarack.plans.pattern import PatternError, found, java_pattern
 from tamarack.vocab import EDGE_KINDS, NODE_WORDS
 
 
@@ -207,11 +207,13 @@ def _test(p: Predicate, v: Column) -> Column:
             return F.endswith(F.lower(v), needle)
         case "*=":
             return F.contains(F.lower(v), needle)
-    return v.rlike(java_pattern(p.value))
+    raise ValueError(p.operator)
 
 
 def predicate(p: Predicate) -> Column:
     """Whether some value passes; ``!=`` whether none is equal, so that an absent attribute passes."""
+    if p.operator == "~=":
+        return found(p.value, F.col(_SCALAR[p.key]) if p.key in _SCALAR else attribute(p.key), p.key not in _SCALAR)
     if p.key in _SCALAR:
         hit = F.coalesce(_test(p, F.col(_SCALAR[p.key])), F.lit(False))
     else:
@@ -280,9 +282,9 @@ def union(graph: SpecGraph, queries: list[Query | str], **options) -> DataFrame:
 def render(graph: SpecGraph, matches: DataFrame) -> DataFrame:
     """``matches`` with ``text``: the walk as ``a -kind-> b <-kind- c``."""
     edge = graph.edges.select("edge_ord", "kind", "from", "to")
-    walked = matches.withColumn("match", F.xxhash64("nodes", "edges"))
-    steps = walked.select("match", F.posexplode("edges").alias("pos", "edge_ord")).join(edge, "edge_ord")
-    gathered = steps.groupBy("match").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "from", "to"))).alias("hops"))
+    match = ["nodes", "edges"]
+    steps = matches.select(*match, F.posexplode("edges").alias("pos", "edge_ord")).join(edge, "edge_ord")
+    gathered = steps.groupBy(*match).agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "from", "to"))).alias("hops"))
     begin = F.struct(F.col("nodes")[0].alias("at"), F.col("nodes")[0].alias("text"))
 
     def go(acc: Column, e: Column) -> Column:
@@ -292,4 +294,4 @@ def render(graph: SpecGraph, matches: DataFrame) -> DataFrame:
         return F.struct(at.alias("at"), F.concat(acc["text"], arrow, at).alias("text"))
 
     text = F.aggregate(F.coalesce("hops", F.array().cast("array<struct<pos:int,kind:string,from:string,to:string>>")), begin, go)["text"]
-    return walked.join(gathered, "match", "left").select("nodes", "edges", text.alias("text"))
+    return matches.join(gathered, match, "left").select("nodes", "edges", text.alias("text"))

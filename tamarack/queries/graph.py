@@ -79,6 +79,7 @@ selector("sel_prefix", "document[title^=1-urg]", "SELECT id AS n0 FROM nodes WHE
 selector("sel_suffix", "item[text$='7']", "SELECT id AS n0 FROM nodes WHERE kind = 'item' AND text LIKE '%7'")
 selector("sel_contains", "item[body*='FLAG r']", "SELECT id AS n0 FROM nodes WHERE kind = 'item' AND flag = 'R'")
 selector("sel_regex", r"document[title~='^[12]-(urgent|high)$']", "SELECT id AS n0 FROM nodes WHERE kind = 'document' AND regexp_matches(lower(title), '^[12]-(urgent|high)$')")
+selector("sel_regex_repeats", r"document[title~='^(?:[1-5]+-)+.*(ent|igh)$']", "SELECT id AS n0 FROM nodes WHERE kind = 'document' AND regexp_matches(lower(title), '^([1-5]+-)+.*(ent|igh)$')")
 selector("sel_exists", "node[section]", "SELECT id AS n0 FROM nodes WHERE kind = 'item'")
 selector("sel_fm", "document[fm.priority=1-URGENT]", "SELECT id AS n0 FROM nodes WHERE priority = '1-URGENT'")
 selector("sel_multivalue", "document[fm.tags=2][fm.tags!=draft]", "SELECT id AS n0 FROM nodes WHERE kind = 'document' AND priority LIKE '2%' AND raw_status <> 'draft'")

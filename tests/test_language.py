@@ -2,13 +2,14 @@
 
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tamarack.plans.globs import GlobError, compile_glob, glob_base, rebase
-from tamarack.plans.pattern import PatternError, java_pattern
+from tamarack.plans.pattern import Automaton, PatternError, found, is_harmless, java_pattern
 from tamarack.plans.project import ConfigError, parse_config
 from tamarack.plans.selector import NodeMatcher, Predicate, Query, QueryError, Step, parse_query
 from tamarack.sources.extract import classify, edit_apart, extract, identify, phase_of
@@ -48,6 +49,42 @@ def test_patterns_match(spark):
     assert list(row) == [w for *_, w in cases]
 
 
+_PATTERNS = (
+    r"^a.c$", r"\d{2,3}", r"[^\W_]+", r"a|b{", r"\bcat\b", r"x[\s]y", r"a.b", "", r"(a+)+$", r"(?:a|b)*c\b", r"^\s*$", r"[a-c]{2,}x?$", r"(x+x+)+y", r"\Ba\B", r"[]a]", r"[^]b", r"a{0,2}b{2}", r"^(?:[^-]*-){2}z",
+    r"[\d-]x", r"\u0041\x62", r"(|a)b$", r"k+z", r"[a\S]y", r"^.*\.$",
+)
+
+
+def test_automaton_agrees_with_the_jvm(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    texts = ["", "AbC", "x12", "__", "b{", "a cat.", "x y", "a\nb", "\u212az", "\u2028", "a-b-z", "AB", "3x"] + ["".join(rng.choices("abcxyz-_ .A1\n", k=rng.randint(0, 12))) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *[F.col("t").rlike(java_pattern(p)).alias(f"c{k}") for k, p in enumerate(_PATTERNS)]).collect()
+    for k, p in enumerate(_PATTERNS):
+        search = Automaton(p).search
+        assert [r.t for r in rows if search(r.t) != r[f"c{k}"]] == [], p
+
+
+def test_automaton_is_linear(spark):
+    from pyspark.sql import functions as F
+
+    assert [is_harmless(p) for p in (r"^[12]-(urgent|high)$", r"v\d+", "(a+)+$", "a.*b", "(a|a?){40}b", "a{2,5}b")] == [True, True, False, False, False, True]
+    began = time.monotonic()
+    for p in ("(a+)+$", "^(a|a)*$", "(x+x+)+y", "(?:a?){200}a{200}$"):
+        assert not Automaton(p).search(("a" if "x" not in p else "x") * 150 + "!")
+        assert not Automaton(p).search(("a" if "x" not in p else "x") * 100_000 + "!")
+    assert time.monotonic() - began < 10
+    df = spark.createDataFrame([("a" * 54 + "!", ["no", None, "aa"]), (None, None), ("xa", [])], "v string, vs array<string>")
+    assert [tuple(r) for r in df.select(found("(a+)+$", F.col("v"), False), found("(a+)+$", F.col("vs"), True), found("a$", F.col("vs"), True)).collect()] == [(False, True, True), (False, False, False), (True, False, False)]
+
+
+def test_automaton_forgets(monkeypatch):
+    monkeypatch.setattr(Automaton, "KEPT", 5)
+    a = Automaton(r"(ab|ba)+c\b")
+    assert [a.search(t) for t in ("xababbac", "ababcx", "abbabac.", "")] == [True, False, True, False]
+
+
 @pytest.mark.parametrize(
     ("glob", "yes", "no"),
     [
