@@ -100,7 +100,8 @@ def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     loops = edges.where("a = b").select(F.col("a").alias("component"), F.col("a").alias("node"))
     rest, out = settle(edges.where("a <> b"), "edges"), None
     if rest.count() <= small:
-        out = rest.coalesce(1).mapInArrow(_in_one_task, "component string, node string")
+        # Written, so that what reads it more than once doesn't search again.
+        out = settle(rest.coalesce(1).mapInArrow(_in_one_task, "component string, node string"), "component")
     else:
         out = _in_rounds(_trim(rest))
     loops = loops if out is None else loops.join(out.select("node"), "node", "left_anti").select("component", "node")

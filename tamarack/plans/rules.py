@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tamarack.functions.text import dirname, resolve_from, suggest_reference_glob, template_parts, truncate
 from tamarack.operators.cycles import components
 from tamarack.operators.graph import SpecGraph, with_owners
-from tamarack.plans.selector import Query, attribute, execute, parse_query
+from tamarack.plans.selector import Query, attribute, execute, matcher, parse_query
 from tamarack.vocab import CLOSED_ROUND_RULES, EDGE_TRAITS, OBLIGATION_EDGES, REFERENCE_RULES, SEVERITIES, SEVERITY_ORDER
 
 FINDING = "rule string, message string, file string, line int, column int, nodes array<string>, target string, related array<struct<file:string,line:int,note:string>>, hint string"
@@ -50,8 +50,8 @@ def _note(file, line, note) -> Column:
     return F.struct(file.alias("file"), line.cast("int").alias("line"), note.alias("note"))
 
 
-def _named(graph: SpecGraph, p: str) -> DataFrame:
-    return graph.nodes.select(*[F.col(c).alias(f"{p}_{c}") for c in _NODE])
+def _named(nodes: DataFrame, p: str) -> DataFrame:
+    return nodes.select(*[F.col(c).alias(f"{p}_{c}") for c in _NODE])
 
 
 def _finding(df: DataFrame, rule: str, message: Column, at: Sequence[Column], nodes: Column, hint: Column, related: Column | None = None, target: Column | None = None) -> DataFrame:
@@ -63,10 +63,22 @@ def _finding(df: DataFrame, rule: str, message: Column, at: Sequence[Column], no
 
 
 def _matched(graph: SpecGraph, query: Query) -> DataFrame:
-    """One-step matches with their edge and the attributes of both ends (``s_`` and ``t_``)."""
-    m = execute(graph, query).select(F.col("nodes")[0].alias("s_id"), F.col("nodes")[1].alias("t_id"), F.col("edges")[0].alias("edge_ord"))
-    edge = graph.edges.select("edge_ord", F.col("kind").alias("edge_kind"), F.col("from"), F.col("to"), F.col("file").alias("e_file"), F.col("line").alias("e_line"), F.col("column").alias("e_column"))
-    return m.join(edge, "edge_ord").join(_named(graph, "s"), "s_id").join(_named(graph, "t"), "t_id")
+    """One-step matches with their edge and the attributes of both ends (``s_`` and ``t_``).
+
+    As ``execute`` does, but each end is joined once, with what its predicates
+    leave of it, and the edge's columns come along.
+    """
+    (step,) = query.steps
+    here, there = ("from", "to") if step.direction == "out" else ("to", "from")
+    edges = graph.edges if step.kinds is None else graph.edges.where(F.col("kind").isin(*step.kinds))
+    edge = edges.where(~F.col("reflexive")).select(
+        F.col(here).alias("s_id"), F.col(there).alias("t_id"), "edge_ord", F.col("kind").alias("edge_kind"), "from", "to", F.col("file").alias("e_file"), F.col("line").alias("e_line"), F.col("column").alias("e_column")
+    )
+    if step.kinds is None or len(step.kinds) > 1:  # of several edges between the same nodes the first counts
+        rest = [c for c in edge.columns if c not in ("s_id", "t_id")]
+        edge = edge.groupBy("s_id", "t_id").agg(F.min_by(F.struct(*rest), "edge_ord").alias("e")).select("s_id", "t_id", "e.*")
+    start, end = graph.nodes.where(matcher(query.start)), graph.nodes.where(matcher(step.node))
+    return edge.join(_named(start, "s"), "s_id").join(_named(end, "t"), "t_id")
 
 
 def _edge_at() -> list[Column]:
@@ -94,7 +106,7 @@ def ghost_handover(graph: SpecGraph) -> DataFrame:
 
 def stale_premise(graph: SpecGraph) -> DataFrame:
     """Live things that rest on what was retired or obviated, less what a ghost handover claims."""
-    claimed = execute(graph, GHOST).select(F.col("edges")[0].alias("edge_ord"))
+    claimed = _matched(graph, GHOST).select("edge_ord")
     m = _matched(graph, STALE[0]).unionByName(_matched(graph, STALE[1])).join(claimed, "edge_ord", "left_anti")
     item = F.col("t_kind") == "item"
     because = F.when(item, "that question was obviated - its premise no longer holds").otherwise(F.concat("t_id", F.lit(" is retired"), _suffix("t")))
@@ -220,7 +232,7 @@ def misread_key(keys: DataFrame) -> DataFrame:
 def self_reference(graph: SpecGraph, also: Sequence[str] = ()) -> DataFrame:
     """Obligations and premises that never leave their document.  ``also``: further kinds to report."""
     kinds = [k for k, t in EDGE_TRAITS.items() if t[0] or t[1]] + list(also)
-    m = graph.edges.where(F.col("reflexive") & F.col("kind").isin(*kinds)).select(F.col("kind").alias("edge_kind"), F.col("from").alias("s_id"), F.col("file").alias("e_file"), F.col("line").alias("e_line"), F.col("column").alias("e_column")).join(_named(graph, "s"), "s_id")
+    m = graph.edges.where(F.col("reflexive") & F.col("kind").isin(*kinds)).select(F.col("kind").alias("edge_kind"), F.col("from").alias("s_id"), F.col("file").alias("e_file"), F.col("line").alias("e_line"), F.col("column").alias("e_column")).join(_named(graph.nodes, "s"), "s_id")
     moves = F.col("edge_kind").isin(*[k for k, t in EDGE_TRAITS.items() if t[1]])
     hint = F.when(moves, "this obligation looks delegated but never left - point it at another document, or own it here").otherwise("a document cannot depend on itself - repoint or remove the reference")
     return _finding(m, "self-reference", F.concat(_describe("s"), F.lit(" "), _phrase(F.col("edge_kind")), F.lit(" itself")), _edge_at(), F.array("s_id"), hint)
