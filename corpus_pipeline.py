@@ -1,7 +1,8 @@
 """A corpus pipeline: each stage applies one operator of ``tamarack.llm``.
 
 Rows of ``documents`` go through language ID (texts in no learned language
-go), near-duplicate removal (one document of each group stays), benchmark
+go), near-duplicate removal (one document of each group stays, by SimHash
+and, for texts that only a block tells apart, by their shingles), benchmark
 decontamination (documents that hold an item go), mixing to target weights
 (documents are left out, taken once or taken twice, in the order of their
 positions in the training) and sharding (which adds ``shard`` and ``slot``).
@@ -18,7 +19,7 @@ from tamarack.llm.common import drop, materialise, scratch, table
 from tamarack.llm.decontam import drop_contaminated
 from tamarack.llm.langid import keep_known, learn
 from tamarack.llm.mixing import take
-from tamarack.llm.neardup import keep_one
+from tamarack.llm.neardup import DISTANCE, keep_one
 from tamarack.llm.sharding import shard
 
 
@@ -27,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs)
+    return keep_one(docs, distance=DISTANCE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

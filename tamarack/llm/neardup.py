@@ -1,12 +1,19 @@
 """One document of each group of near duplicates stays.
 
 Two documents are near duplicates if their sets of five-word shingles have a
-Jaccard similarity of 0.8 or more.  Candidates come from an exact prefix
-filter: with all shingles in one order, the rarest first, two sets of that
-similarity have a shingle in common among the first ``n - ceil(0.8 n) + 1`` of
-each.  Shingles that only one text has come first and meet nobody, so that few
-texts have candidates at all.  Candidates' components bound the exact check,
-which compares the shingle sets themselves.
+Jaccard similarity of 0.8 or more, or, where a ``distance`` is given as in the
+pipeline, if their SimHash fingerprints differ in so many bits or fewer and
+that similarity is 0.5 or more: a passage that two texts repeat can bring the
+fingerprints of quite different texts together.
+
+``simhash.links`` finds all near fingerprints by pigeonring.  As a block that is
+added, cut or replaced often moves more bits, texts of a similarity of 0.8 or
+more come from an exact prefix filter besides: with all shingles in one order,
+the rarest first, two such sets have a shingle in common among the first
+``n - ceil(0.8 n) + 1`` of each.  Shingles that only one text has come first and
+meet nobody, so that few texts have candidates at all.  The components of all
+candidates bound the exact check, which compares the fingerprints and the
+shingle sets themselves.
 
 Shingles that a large share of the texts have are found while the texts are
 read and travel with their texts, not to the bucket of their hash; so no task
@@ -25,8 +32,11 @@ from pyspark.sql import functions as F
 
 from tamarack.llm.common import drop, fresh, materialise, row_key, scratch
 from tamarack.llm.components import HUBS, components, with_least
+from tamarack.llm.simhash import fingerprint, links
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: The pipeline's distance of linked fingerprints in bits; segments of the keys that find them; the similarity that their texts must have.
+DISTANCE, CHAIN, ALIKE = 4, 7, 0.5
 #: Shingles of a bucket, whose documents one task counts, and shingles that a task deals out at once.
 BUCKET_SHINGLES, DEALT_SHINGLES = 1 << 20, 1 << 19
 #: A shingle is common if at least one text in so many has it; and there are so many common ones at most.
@@ -72,11 +82,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-PRINTS = "row_key binary, doc_id long, node long, check long, n_words long, n_shingles long"
+PRINTS = "row_key binary, doc_id long, node long, check long, n_words long, n_shingles long, fp long"
 
 
-def _prints(shingle: int, bits: int, renamed: Renamed):
-    """(row_key, doc_id, text) -> a row each; and, without ``row_key``, shingles that many texts of a chunk have: (node: hash, n_words: texts with it, n_shingles: texts)."""
+def _prints(shingle: int, bits: int, renamed: Renamed, fingerprints: bool):
+    """(row_key, doc_id, text) -> a row each, ``fp`` null but for ``fingerprints``; and, without ``row_key``, shingles that many texts of a chunk have: (node: hash, n_words: texts with it, n_shingles: texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PRINTS.split(", ")]
@@ -88,12 +98,12 @@ def _prints(shingle: int, bits: int, renamed: Renamed):
             many = count >= max(4, len(held) / COMMON_SHARE)
             h, count = h[many].view(np.int64), count[many]
             k = len(h)
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array(h), pa.nulls(k, pa.int64()), pa.array(count), pa.array(np.full(k, len(held)))], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array(h), pa.nulls(k, pa.int64()), pa.array(count), pa.array(np.full(k, len(held))), pa.nulls(k, pa.int64())], names=names)
 
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                nodes, checks, n_words, n_shingles = [], [], [], []
+                nodes, checks, n_words, n_shingles, fps = [], [], [], [], []
                 for text in part.column(2).to_pylist():
                     words = _words(text)
                     node, check = _node(words, bits, renamed)
@@ -102,10 +112,11 @@ def _prints(shingle: int, bits: int, renamed: Renamed):
                     checks.append(_signed(check))
                     n_words.append(len(words))
                     n_shingles.append(len(own))
+                    fps.append(_signed(fingerprint(text)) if fingerprints else None)
                     if node not in held:
                         held[node] = own
                         n += len(own)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in (nodes, checks, n_words, n_shingles))], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in (nodes, checks, n_words, n_shingles, fps))], names=names)
                 if n >= DEALT_SHINGLES:
                     yield common()
                     held, n = {}, 0
@@ -219,8 +230,19 @@ def candidates(docs: DataFrame, texts: DataFrame, common: tuple[np.ndarray, np.n
     return met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def exact_links(nodes: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Links that join what all pairs of similarity ``least`` or more join: each found set to the one it was found from."""
+def print_candidates(texts: DataFrame, distance: int, chain: int = CHAIN) -> DataFrame:
+    """Links ``(a, b)`` that connect each two of ``texts(node, fp)`` whose fingerprints differ in ``distance`` bits or fewer, and no others."""
+    own = texts.select(F.col("fp").alias("a"), F.col("node").alias("b"))
+    same = with_least(own, own, max(32, texts.count() // HUBS)).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    distinct = own.groupBy("a").agg(F.min("b").alias("rep")).select("rep", F.col("a").alias("fp0"))
+    return links(distinct, distance, chain).unionAll(same)
+
+
+def exact_links(nodes: list[int], sets: list[np.ndarray], least: float, fps: np.ndarray | None = None, distance: int | None = None, alike: float = ALIKE) -> list[tuple[int, int]]:
+    """Links that join what all pairs of similarity ``least`` or more join: each found set to the one it was found from.
+
+    With a ``distance`` a similarity of ``alike`` is enough for sets whose ``fps`` differ in so many bits or fewer.
+    """
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     size = np.array([len(s) for s in sets])
     begin = np.cumsum(size) - size
@@ -230,7 +252,9 @@ def exact_links(nodes: list[int], sets: list[np.ndarray], least: float) -> list[
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             at = queue.pop()
-            fits = left[(size[left] >= least * size[at]) & (size[at] >= least * size[left])]
+            limit = np.full(len(left), least) if distance is None else np.where(np.bitwise_count(fps[left] ^ fps[at]) <= distance, min(alike, least), least)
+            some = (size[left] >= limit * size[at]) & (size[at] >= limit * size[left])
+            fits, limit = left[some], limit[some]
             if not len(fits):
                 continue
             own = flat[begin[at] : begin[at] + size[at]]
@@ -239,30 +263,32 @@ def exact_links(nodes: list[int], sets: list[np.ndarray], least: float) -> list[
             within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[fits], n)
             both = np.add.reduceat(mark[flat[within]].astype(np.int64), np.cumsum(n) - n)
             mark[own] = False
-            found = fits[both >= least * (n + size[at] - both) - 1e-9]
+            found = fits[both >= limit * (n + size[at] - both) - 1e-9]
             out += [(nodes[x], nodes[at]) for x in found.tolist()]
             queue += found.tolist()
             left = left[~np.isin(left, found, assume_unique=True)]
     return out
 
 
-def _verify(shingle: int, least: float):
-    """Rows ordered by key: (key, node, text) -> links (a, b)."""
+def _verify(shingle: int, least: float, distance: int | None, alike: float):
+    """Rows ordered by key: (key, node, fp, text) -> links (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sets = None, [], []
+        key, nodes, fps, sets = None, [], [], []
 
         def made():
-            found = exact_links(nodes, sets, least) if len(nodes) > 1 else []
+            prints = None if distance is None else np.array(fps, np.int64).view(np.uint64)
+            found = exact_links(nodes, sets, least, prints, distance, alike) if len(nodes) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
         for b in batches:
             for at in range(0, b.num_rows, 64):
-                for k, node, text in zip(*(c.to_pylist() for c in b.slice(at, 64).columns), strict=True):
+                for k, node, fp, text in zip(*(c.to_pylist() for c in b.slice(at, 64).columns), strict=True):
                     if k != key:
                         yield made()
-                        key, nodes, sets = k, [], []
+                        key, nodes, fps, sets = k, [], [], []
                     nodes.append(node)
+                    fps.append(fp)
                     sets.append(shingles(_words(text), shingle))
         yield made()
 
@@ -280,7 +306,7 @@ def _common(prints: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], texts[order]
 
 
-def _named(keyed: DataFrame, shingle: int, bits: int) -> tuple[DataFrame, Renamed]:
+def _named(keyed: DataFrame, shingle: int, bits: int, fingerprints: bool = False) -> tuple[DataFrame, Renamed]:
     """The texts' prints under names of which no two texts share one.
 
     Two texts of one 64-bit name are rare: of n texts, n * n / 2 ** 65 pairs.
@@ -288,7 +314,7 @@ def _named(keyed: DataFrame, shingle: int, bits: int) -> tuple[DataFrame, Rename
     """
     renamed: Renamed = {}
     for _ in range(8):
-        prints = materialise(keyed.mapInArrow(_prints(shingle, bits, renamed), PRINTS), "prints")
+        prints = materialise(keyed.mapInArrow(_prints(shingle, bits, renamed, fingerprints), PRINTS), "prints")
         named = prints.where("row_key is not null")
         twice = named.groupBy("node").agg(F.min("check").alias("one"), F.max("check").alias("two")).where("one <> two").select("node")
         clash = named.join(twice, "node").select("node", "check").distinct().collect()
@@ -302,28 +328,31 @@ def _named(keyed: DataFrame, shingle: int, bits: int) -> tuple[DataFrame, Rename
     raise RuntimeError("texts could not be told apart by name")
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, group_words: int = GROUP_WORDS, bucket_shingles: int = BUCKET_SHINGLES, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, group_words: int = GROUP_WORDS, bucket_shingles: int = BUCKET_SHINGLES, bits: int = 64, distance: int | None = None, chain: int = CHAIN, alike: float = ALIKE) -> tuple[DataFrame, DataFrame]:
     """``(rows, groups)``: ``rows(row_key, doc_id, node, ...)`` says which text each row has, ``groups(node, best, label)`` each text's group.
 
     ``row_key`` is a digest of ``doc_id`` and ``text`` (128 bits); ``best`` is
     the text's row with the smallest ``doc_id``, null last.  ``bits``: those
-    of a text's first name.
+    of a text's first name.  With ``distance`` texts are also near duplicates
+    if their fingerprints differ in so many bits or fewer and their similarity
+    is ``alike`` or more; ``chain``: segments of the keys that find these.
     """
     keyed = docs.select(row_key().alias("row_key"), "doc_id", "text")
-    prints, renamed = _named(keyed, shingle, bits)
+    prints, renamed = _named(keyed, shingle, bits, distance is not None)
     rows = prints.where("row_key is not null")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row_key").alias("row_key"))).alias("best")
-    texts = materialise(rows.groupBy("node").agg(best, F.first("n_words").alias("n_words"), F.first("n_shingles").alias("n_shingles")), "texts")
-    coarse = components(candidates(docs, texts, _common(prints), shingle, least, bucket_shingles, bits, renamed))
-    member = materialise(texts.join(coarse, "node").select("component", "node", "n_words", F.col("best.row_key").alias("row_key")), "members")
+    texts = materialise(rows.groupBy("node").agg(best, F.first("n_words").alias("n_words"), F.first("n_shingles").alias("n_shingles"), F.first("fp").alias("fp")), "texts")
+    met = candidates(docs, texts, _common(prints), shingle, least, bucket_shingles, bits, renamed)
+    coarse = components(met if distance is None else met.unionAll(print_candidates(texts, distance, chain)))
+    member = materialise(texts.join(coarse, "node").select("component", "node", "fp", "n_words", F.col("best.row_key").alias("row_key")), "members")
     blocks = F.ceil(F.sum(F.col("n_words") + 1) / F.lit(group_words)).cast("int").alias("n")
     large = materialise(member.groupBy("component").agg(blocks).where("n > 1"), "large")
     member = member.join(large, "component", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("i", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    dealt = keyed.select("row_key", "text").join(member, "row_key").select("component", "node", "text", "n", "i")
+    dealt = keyed.select("row_key", "text").join(member, "row_key").select("component", "node", "fp", "text", "n", "i")
     # A pair of blocks is compared by a task of its own.
-    pairs = dealt.select("component", "node", "text", "i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
-    pairs = pairs.select(F.xxhash64("component", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "node", "text")
-    sure = components(pairs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_verify(shingle, least), "a long, b long"))
+    pairs = dealt.select("component", "node", "fp", "text", "i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    pairs = pairs.select(F.xxhash64("component", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "node", "fp", "text")
+    sure = components(pairs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_verify(shingle, least, distance, alike), "a long, b long"))
     groups = texts.join(sure, "node", "left").select("node", "best", F.coalesce("component", "node").alias("label"))
     return rows, groups
 

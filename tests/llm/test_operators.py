@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tamarack.llm import decontam, hnsw, langid, mixing, neardup, sharding, simhash, substring, tokens, urls
 from tamarack.llm import secrets as scans
 from tamarack.llm.components import components
@@ -390,6 +391,56 @@ def test_near_duplicates_with_common_passages_and_clashing_names(spark):
     assert len(neardup._common(prints)[0]) >= 30  # the passages travel with their texts
 
 
+def test_near_duplicates_by_fingerprint(spark):
+    rng = random.Random(31)
+    vocabulary, made = [f"p{k}" for k in range(30_000)], []
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    def near(words, bits):  # a copy with words changed here and there, of a similarity under 0.8
+        for _ in range(3000):
+            copy = list(words)
+            for k in rng.sample(range(len(copy)), rng.randrange(4, 7)):
+                copy[k] = rng.choice(vocabulary)
+            a, b = grams(" ".join(words)), grams(" ".join(copy))
+            if 0.5 * len(a | b) <= len(a & b) < 0.8 * len(a | b) and (simhash.fingerprint(" ".join(words)) ^ simhash.fingerprint(" ".join(copy))).bit_count() in bits:
+                return copy
+        raise AssertionError("no such copy")
+
+    for _ in range(12):
+        words = rng.sample(vocabulary, 180)
+        copy = near(words, range(5))
+        made += [words, copy, near(copy, range(5)), near(words, range(8, 65))]
+    passage = rng.sample(vocabulary, 40)
+    made += [passage * 12 + rng.sample(vocabulary, 60) for _ in range(20)]  # like fingerprints, little in common
+    made = [" ".join(w) for w in made]
+    prints, sets = [plain_print(t) for t in made], [grams(t) for t in made]
+    sure, only_like = Sets(), 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both, linked = len(a & sets[j]) / len(a | sets[j]), (prints[i] ^ prints[j]).bit_count() <= 4
+            only_like += linked and both < 0.5
+            if both >= 0.8 or linked and both >= 0.5:
+                sure.join(i, j)
+    want = {sure.find(i) for i in range(len(made))}
+    assert only_like and 12 <= len(made) - len(want) <= 36
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string")
+    for more in ({}, {"group_words": 300}):
+        assert {r.doc_id for r in neardup.keep_one(df, distance=4, **more).collect()} == want
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()} == want
+    texts = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(prints)], "node bigint, fp bigint")
+    linked, got = Sets(), Sets()
+    for i, f in enumerate(prints):
+        for j in range(i):
+            if (f ^ prints[j]).bit_count() <= 4:
+                linked.join(i, j)
+    for r in neardup.print_candidates(texts, 4).collect():
+        got.join(r.a, r.b)
+    assert [got.find(i) for i in range(len(made))] == [linked.find(i) for i in range(len(made))]
+
+
 def test_exact_links_join_what_all_pairs_join():
     rng = random.Random(5)
     sets = [np.array(sorted(rng.sample(range(40), rng.randrange(15, 40))), np.uint64) for _ in range(50)]
