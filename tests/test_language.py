@@ -187,3 +187,19 @@ def test_config():
     with pytest.raises(ConfigError) as e:
         parse_config('{"x": 1, "strict": "no", "families": ["a"], "ignoreFamilies": ["A"], "rules": {"r": {"query": "item", "message": "{1} {0.nope}"}, "!": {}}}')
     assert len(e.value.problems) == 6
+
+
+def test_readers_of_some_blocks_pay_for_no_others():
+    from tamarack.sources.blocks import KINDS, blocks
+
+    text = "---\nstatus: accepted\ndepnds-on: ADR-2\n---\n# ADR-1: A\n\n## Todo\n\n- [ ] amends [b](b.md)\n\n| ID | Status |\n| --- | --- |\n| Q1 | draft |\n\n<!-- c -->\n"
+    whole = list(blocks("a.md", text))
+    assert {b["kind"] for b in whole} == set(KINDS)
+    for kind in KINDS:
+        assert list(blocks("a.md", text, [kind])) == [b for b in whole if b["kind"] == kind]
+    s = scan(text)
+    assert s.front.entries["status"] == ["accepted"] and not {"_masked", "lines", "items", "links", "tables"} & set(vars(s))
+    full = extract("a.md", text)
+    assert [len(full[0][k]) for k in ("items", "refs", "misread")] == [1, 2, 1]
+    for parts in ((), ["items"], ["refs"], ["misread"]):
+        assert extract("a.md", text, parts) == [{**row, **{k: [] for k in ("items", "refs", "misread") if k not in parts}} for row in full]
